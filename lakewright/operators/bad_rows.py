@@ -31,7 +31,8 @@ BROKEN, COUNT, VALUE = "BROKEN_QUOTING", "WRONG_COLUMN_COUNT", "INVALID_VALUE"
 #: Records per file given to the CSV reader; bounds the worker's memory, not the result.
 RECORDS_PER_FILE = 5_000
 
-_FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n][^",]*|[^",]*)'
+#: Possessive, so that a record is read once from left to right however long it is.
+_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 RECORD = re.compile(rf"{_FIELD}(?:,{_FIELD})*", re.DOTALL)
 #: The longest line end at the end of the text is no part of the record.
 LINE_END = re.compile(r"(?:\r\n|\n|\r)\Z")

@@ -1,11 +1,12 @@
 """Texts in many date and time notations and zones, normalised to one calendar day or one UTC instant.
 
-All notations are compiled into one regular expression, an alternation whose branches have named groups. One regexp_replace per
-value rewrites the text into its components; calendar ranges are checked and instants are assembled by integer
-day arithmetic. Everything stays in JVM expressions: no Python worker, no shuffle.
+All notations are compiled into one regular expression, an alternation whose branches have named groups. Each distinct text of an
+Arrow batch is matched once and its components extracted once; everything after that (calendar ranges, days by integer
+arithmetic, zone offsets, text of the result) is done on whole columns. There is no shuffle: sources' profiles are a
+small table whose size is checked.
 
 Rules: numeric dates that begin with day or month follow the source's order strictly; a four-digit beginning is year, month,
-day; two-digit years are 20xx; more than eight bare digits count from 1970 in seconds, milli-, micro- or nanoseconds by their
+day; two-digit years are 20xx; nine to nineteen bare digits count from 1970 in seconds, milli-, micro- or nanoseconds by their
 number. Without a zone the source's clock holds; a local time that occurs twice means the earlier instant. Text that names no
 existing day or time, or a local time that the clock skips, is UNRESOLVED, and so is a zone-less time of a source without
 profile. NULL stays NULL; blank text is UNRESOLVED.
@@ -13,155 +14,224 @@ profile. NULL stays NULL; blank text is UNRESOLVED.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import re
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta, timezone
+from functools import cache
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNRESOLVED = "UNRESOLVED"
 
-#: Profiles (one row per source) up to which the profile table is read to the driver; it is refused beyond it.
+#: Profiles (one row per source) that the driver reads at most; a longer table is refused.
 MAX_PROFILES = 10_000
+#: Years for which zone transitions are tabulated; other years take the nearest tabulated offset.
+FIRST_YEAR, LAST_YEAR = 1970, 2099
 
 # Month and weekday names.
 MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 WEEKDAYS = ("MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY")
 
-COMPONENTS = ("yf", "af", "bf", "yt", "mn", "dt", "ep", "h", "mi", "s", "ap", "z")
-
-
-def pattern() -> tuple[str, str]:
-    """The alternation over upper-cased text and the replacement that lists its components, separated by bars."""
-    groups: dict[str, list[str]] = {c: [] for c in COMPONENTS}
-
-    def g(component: str, rx: str) -> str:
-        name = f"{component}x{len(groups[component])}"
-        groups[component].append(name)
-        return f"(?<{name}>{rx})"
-
-    month = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS).replace("SEP(?:TEMBER)?", "SEP(?:T(?:EMBER)?)?")
-    weekday = "(?:(?:" + "|".join(f"{w[:3]}(?:{w[3:]})?" for w in WEEKDAYS) + r")\.?,? )?"
-
-    def zone() -> str:
-        return r" ?" + g("z", r"Z|[A-Z]{3,5}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?")
+_MONTH = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS).replace("SEP(?:TEMBER)?", "SEP(?:T(?:EMBER)?)?")
+_WEEKDAY = "(?:(?:" + "|".join(f"{w[:3]}(?:{w[3:]})?" for w in WEEKDAYS) + r")\.?,? )?"
+_ZONE = r" ?<z:Z|[A-Z]{3,5}|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?>"
+_CLOCK = rf"(?:(?:T| T? ?|, ?)<h:\d{{1,2}}>:<i:\d{{2}}>(?::<s:\d{{2}}>(?:[.,]\d{{1,12}})?)?(?: ?<p:[AP]>\.?M\.?)?(?:{_ZONE})?)?"
+_ORDINAL = "(?:ST|ND|RD|TH)?"
+
+#: The notations, upper case. <c:rx> is component c: y year, m month, d day, a and b the first two numbers of a date in the
+#: source's order, n month name, h i s clock, p half of the day, z zone, e count from 1970.
+NOTATIONS = (
+    rf"<y:\d{{4}}>-<m:\d{{1,2}}>-<d:\d{{1,2}}>{_CLOCK}",
+    rf"<y:\d{{4}}>/<m:\d{{1,2}}>/<d:\d{{1,2}}>{_CLOCK}",
+    rf"<y:\d{{4}}>\.<m:\d{{1,2}}>\.<d:\d{{1,2}}>{_CLOCK}",
+    rf"<y:\d{{4}}><m:\d{{2}}><d:\d{{2}}>(?:[T ]<h:\d{{2}}><i:\d{{2}}>(?:<s:\d{{2}}>(?:[.,]\d{{1,12}})?)?(?:{_ZONE})?)?",
+    rf"<y:\d{{4}}><m:\d{{2}}><d:\d{{2}}>{_CLOCK}",
+    r"<e:\d{9,19}>",
+    rf"<a:\d{{1,2}}>/<b:\d{{1,2}}>/<y:\d{{4}}|\d{{2}}>{_CLOCK}",
+    rf"<a:\d{{1,2}}>-<b:\d{{1,2}}>-<y:\d{{4}}|\d{{2}}>{_CLOCK}",
+    rf"<a:\d{{1,2}}>\.<b:\d{{1,2}}>\.<y:\d{{4}}|\d{{2}}>{_CLOCK}",
+    rf"{_WEEKDAY}<d:\d{{1,2}}>{_ORDINAL}(?: OF)?[ -]<n:{_MONTH}>\.?,?[ -]<y:\d{{4}}|\d{{2}}>{_CLOCK}",
+    rf"{_WEEKDAY}<n:{_MONTH}>\.? <d:\d{{1,2}}>{_ORDINAL},? <y:\d{{4}}>{_CLOCK}",
+    rf"{_WEEKDAY}<n:{_MONTH}> <d:\d{{1,2}}> <h:\d{{2}}>:<i:\d{{2}}>:<s:\d{{2}}>(?: <z:[A-Z]{{3,5}}|(?:UTC|GMT)?[+-]\d{{2}}:?\d{{2}}>)? <y:\d{{4}}>",
+)
+COMPONENTS = "ymdabnhispze"
+
+
+@cache
+def alternation() -> tuple[re.Pattern, dict[str, tuple[int, ...]]]:
+    """The notations as one pattern, and for each branch the group numbers of COMPONENTS (0 where it has none)."""
+    branches = []
+    for k, notation in enumerate(NOTATIONS):
+        branches.append(f"(?P<branch{k}>{_close(notation, k)})")
+    rx = re.compile("(?:" + "|".join(branches) + r")\Z")
+    index = rx.groupindex
+    return rx, {f"branch{k}": tuple(index.get(f"{c}{k}", 0) for c in COMPONENTS) for k in range(len(NOTATIONS))}
+
+
+def _close(notation: str, branch: int) -> str:
+    """<c:rx> -> (?P<c{branch}>rx)."""
+    return re.sub(r"<([a-z]):([^<>]*)>", rf"(?P<\g<1>{branch}>\2)", notation)
+
+
+def days_from_civil(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Days since 1970-01-01 of proleptic Gregorian dates, in integers."""
+    year = y - (m <= 2)
+    era = year // 400
+    of_era = year - era * 400
+    of_year = (153 * (m + np.where(m > 2, -3, 9)) + 2) // 5 + d - 1
+    return era * 146_097 + of_era * 365 + of_era // 4 - of_era // 100 + of_year - 719_468
 
-    def clock(before: str = r"(?:T| T? ?|, ?)") -> str:
-        parts = g("h", r"\d{1,2}") + ":" + g("mi", r"\d{2}") + "(?::" + g("s", r"\d{2}") + r"(?:[.,]\d{1,12})?)?"
-        return f"(?:{before}{parts}(?: ?{g('ap', '[AP]')}\\.?M\\.?)?(?:{zone()})?)?"
 
-    year4, two = r"\d{4}", r"\d{1,2}"
-    branches = [
-        g("yf", year4) + "(?:-" + g("af", two) + "-" + g("bf", two) + "|/" + g("af", two) + "/" + g("bf", two) + r"|\." + g("af", two) + r"\." + g("bf", two) + ")" + clock(),
-        g("yf", year4) + g("af", r"\d{2}") + g("bf", r"\d{2}")
-        + "(?:[T ]" + g("h", r"\d{2}") + g("mi", r"\d{2}") + "(?:" + g("s", r"\d{2}") + r"(?:[.,]\d{1,12})?)?(?:" + zone() + ")?)?",
-        g("yf", year4) + g("af", r"\d{2}") + g("bf", r"\d{2}") + clock("[T ]").removesuffix("?"),
-        g("ep", r"\d{9,20}"),
-        "(?:" + "|".join(g("dt", two) + sep + g("mn", two) + sep + g("yt", r"\d{4}|\d{2}") for sep in ("/", "-", r"\.")) + ")" + clock(),
-        weekday + g("dt", two) + r"(?:ST|ND|RD|TH)?(?: OF)?[ -]" + g("mn", month) + r"\.?,?[ -]" + g("yt", r"\d{4}|\d{2}") + clock(),
-        weekday + g("mn", month) + r"\.? " + g("dt", two) + r"(?:ST|ND|RD|TH)?,? " + g("yt", year4) + clock(),
-        weekday + g("mn", month) + " {1,2}" + g("dt", two) + " " + g("h", r"\d{2}") + ":" + g("mi", r"\d{2}") + ":" + g("s", r"\d{2}")
-        + "(?: " + g("z", r"[A-Z]{3,5}|(?:UTC|GMT)?[+-]\d{2}:?\d{2}") + ")? " + g("yt", year4),
-    ]
-    return "^(?:" + "|".join(branches) + ")$", "|".join("".join(f"${{{n}}}" for n in groups[c]) for c in COMPONENTS)
+def month_days(y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Number of days of months."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(m, 0, 12)] + (leap & (m == 2))
 
 
-def zone_offsets(zone: str) -> dict[str, int]:
-    """Abbreviation -> offset in seconds, as used by the zone in the years of the feed's records."""
+@cache
+def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """(instants, offsets, names): offsets[k] holds before instants[k] and after instants[k - 1]; names are abbreviations."""
     at = ZoneInfo(zone)
-    found: dict[str, int] = {}
-    for year in range(2000, 2038):
-        for month in range(1, 13):
-            t = datetime(year, month, 1, tzinfo=timezone.utc).astimezone(at)
-            if (name := t.tzname()) and name.isalpha():
-                found.setdefault(name, int(t.utcoffset().total_seconds()))
-    return found
-
-
-def profiles(df: DataFrame) -> DataFrame:
-    """(_source, _zone, _order, _offsets) with one row per source, small by the bound that is checked here."""
+    offset = lambda t: int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(at).utcoffset().total_seconds())
+    start = int(datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp())
+    end = int(datetime(LAST_YEAR + 1, 1, 1, tzinfo=timezone.utc).timestamp())
+    cuts, offsets, step = [], [offset(start)], 7 * 86_400
+    for t in range(start, end, step):
+        if offset(t + step) != offsets[-1]:
+            low, high = t, t + step
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (low, mid) if offset(mid) != offsets[-1] else (mid, high)
+            cuts.append(high)
+            offsets.append(offset(high))
+    names: dict[str, int] = {}
+    for t in [start, *cuts]:
+        local = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(at)
+        if t >= 946_684_800 or not cuts:  # names in use since 2000
+            names.setdefault(local.tzname(), int(local.utcoffset().total_seconds()))
+    now = datetime(2000, 1, 1, tzinfo=timezone.utc).astimezone(at)
+    names.setdefault(now.tzname(), int(now.utcoffset().total_seconds()))
+    return np.array(cuts, dtype=np.int64), np.array(offsets, dtype=np.int64), {k: v for k, v in names.items() if k.isalpha()}
+
+
+def to_local(instant: np.ndarray, zone: str) -> np.ndarray:
+    """Clock seconds of UTC instants."""
+    cuts, offsets, _ = transitions(zone)
+    return instant + offsets[np.searchsorted(cuts, instant, side="right")]
+
+
+def to_instant(local: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
+    """(UTC seconds, whether the clock ever showed it) of clock seconds; the earlier of two instants."""
+    cuts, offsets, _ = transitions(zone)
+    guess = np.searchsorted(cuts, local - offsets.max(), side="right")
+    best, found = np.zeros_like(local), np.zeros(len(local), bool)
+    for ahead in range(3):  # offsets in force around that time, from the earliest on
+        k = np.minimum(guess + ahead, len(offsets) - 1)
+        instant = local - offsets[k]
+        fits = (np.searchsorted(cuts, instant, side="right") == k) & ~found
+        best, found = np.where(fits, instant, best), found | fits
+    return best, found
+
+
+def components(texts: Sequence[str]) -> dict[str, np.ndarray]:
+    """Components of each text, -1 where it has none; z as text, matched tells whether a notation fits."""
+    rx, groups = alternation()
+    space = re.compile(r"\s+")
+    months = {m[:3]: k + 1 for k, m in enumerate(MONTHS)}
+    rows, zones, matched = [], [], []
+    blank = (-1,) * 11
+    for text in texts:
+        m = rx.match(space.sub(" ", text).strip().upper())
+        matched.append(m is not None)
+        if m is None:
+            rows.append(blank)
+            zones.append("")
+            continue
+        y, mo, d, a, b, n, h, i, s, p, z, e = (m[g] if g else None for g in groups[m.lastgroup])
+        year = -1 if y is None else int(y) + 2000 * (len(y) == 2)
+        month = months[n[:3]] if n else int(mo or -1)
+        half = -1 if p is None else int(p == "P")
+        rows.append((year, month, int(d or -1), int(a or -1), int(b or -1), int(h or -1), int(i or 0), int(s or 0), half, int(e or -1), len(e or "")))
+        zones.append(z or "")
+    columns = np.array(rows, dtype=np.int64).reshape(len(rows), 11).T
+    return dict(zip(("y", "m", "d", "a", "b", "h", "i", "s", "p", "e", "digits"), columns, strict=True)) | {"z": np.array(zones, dtype=object), "matched": np.array(matched, bool)}
+
+
+def resolve(texts: Sequence[str], zone: str | None, order: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(day, has day, instant, has instant) of texts of one source: day on the source's clock, instant in UTC seconds."""
+    c = components(texts)
+    first = c["a"] >= 0
+    if order in ("MDY", "DMY"):
+        month, day = (c["a"], c["b"]) if order == "MDY" else (c["b"], c["a"])
+        c["m"], c["d"] = np.where(first, month, c["m"]), np.where(first, day, c["d"])
+    timed = c["h"] >= 0
+    twelve = c["p"] >= 0
+    hour = np.where(twelve, np.where((c["h"] >= 1) & (c["h"] <= 12), c["h"] % 12 + 12 * c["p"], 99), np.where(timed, c["h"], 0))
+    right = (
+        c["matched"] & (c["y"] >= 1) & (c["m"] >= 1) & (c["m"] <= 12) & (c["d"] >= 1) & (c["d"] <= month_days(c["y"], c["m"]))
+        & (hour <= 23) & (c["i"] <= 59) & (c["s"] <= 59)
+    )
+    day = days_from_civil(np.where(right, c["y"], 1970), np.where(right, c["m"], 1), np.where(right, c["d"], 1))
+    local = day * 86_400 + hour * 3_600 + c["i"] * 60 + c["s"]
+    epoch = c["e"] >= 0
+    unit = np.select([c["digits"] <= 11, c["digits"] <= 14, c["digits"] <= 17], [1, 1_000, 1_000_000], 1_000_000_000)
+    shift, known = _shifts(c["z"], zone)
+    zoned = c["z"] != ""
+    instant, fixed = np.where(epoch, c["e"] // unit, local - shift), epoch | (right & zoned & known)
+    showed = np.ones(len(local), bool)
+    if zone is not None:
+        own, showed = to_instant(local, zone)
+        free = right & ~zoned & ~epoch
+        instant, fixed = np.where(free, own, instant), fixed | (free & showed)
+        own_day = to_local(instant, zone) // 86_400
+        has_day = np.where(epoch | zoned, fixed, free & (showed | ~timed))
+        return np.where(epoch | zoned, own_day, day), has_day, instant, fixed
+    return day, right & ~zoned & ~timed, instant, fixed
+
+
+def _shifts(zones: np.ndarray, zone: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(offset in seconds, whether known) of written zones; abbreviations are those of the source's zone."""
+    names = {"Z": 0, "UTC": 0, "GMT": 0} | ({k: v for k, v in transitions(zone)[2].items() if k not in ("UTC", "GMT")} if zone else {})
+    table: dict[str, tuple[int, bool]] = {"": (0, False)}
+    for z in set(zones):
+        bare = re.sub(r"^(?:UTC|GMT)(?=[+-])", "", z)
+        if m := re.fullmatch(r"([+-])(\d{2}):?(\d{2})?", bare):
+            minutes = int(m[2]) * 60 + int(m[3] or 0)
+            table[z] = (minutes * (-60 if m[1] == "-" else 60), minutes <= 18 * 60 and int(m[3] or 0) <= 59)
+        else:
+            table[z] = (names.get(bare, 0), bare in names)
+    pairs = [table[z] for z in zones]
+    return np.array([p[0] for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=bool)
+
+
+def profiles(df: DataFrame) -> dict[str, tuple[str | None, str | None]]:
+    """source -> (zone, date order), small by the bound that is checked here. Of several rows the least holds."""
     rows = df.select("table_name", "time_zone", "date_order").where("table_name is not null").distinct().limit(MAX_PROFILES + 1).collect()
     if len(rows) > MAX_PROFILES:
         raise ValueError(f"more than {MAX_PROFILES} sources")
-    best: dict[str, tuple] = {}
+    best: dict[str, tuple[str | None, str | None]] = {}
     for r in sorted(rows, key=lambda r: tuple(str(x) for x in r)):
-        best.setdefault(r.table_name, (r.table_name, r.time_zone, r.date_order, zone_offsets(r.time_zone) if r.time_zone else {}))
-    return df.sparkSession.createDataFrame(list(best.values()), "_source string, _zone string, _order string, _offsets map<string,int>")
-
-
-def day_number(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, in integers."""
-    year = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(year / F.lit(400))
-    of_era = year - era * 400
-    of_year = F.floor((F.lit(153) * (m + F.when(m > 2, -3).otherwise(9)) + 2) / F.lit(5)) + d - 1
-    return (era * 146_097 + of_era * 365 + F.floor(of_era / F.lit(4)) - F.floor(of_era / F.lit(100)) + of_year - 719_468).cast("bigint")
-
-
-def month_days(y: Column, m: Column) -> Column:
-    """Number of days of a month."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-
-
-def _seconds_text(seconds: Column) -> Column:
-    day, rest = F.floor(seconds / F.lit(86_400)).cast("int"), F.pmod(seconds, F.lit(86_400))
-    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
-    return F.concat(date, F.lit("T"), two(rest / 3600), F.lit(":"), two((rest % 3600) / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
-
+        best.setdefault(r.table_name, (r.time_zone, r.date_order))
+    return best
 
-def parse(df: DataFrame, value: str) -> DataFrame:
-    """Adds ``day`` (day number on the clock of the source) and ``instant`` (UTC seconds) to rows with ``value`` and the profile columns.
 
-    Both are NULL where the text can't be resolved.
-    """
-    rx, listing = pattern()
-    text = F.upper(F.trim(F.regexp_replace(F.col(value), r"[\s ]+", " ")))
-    c = lambda name: F.col("_c")[COMPONENTS.index(name)]
-    number = lambda name: F.expr(f"try_cast(_c[{COMPONENTS.index(name)}] as bigint)")
-    df = df.withColumn("_t", F.when(text.rlike(rx), F.regexp_replace(text, rx, listing))).withColumn("_c", F.split("_t", r"\|", -1))
-    alpha = F.expr(f"(locate(substring(_c[{COMPONENTS.index('mn')}], 1, 3), '{''.join(m[:3] for m in MONTHS)}') + 2) div 3")
-    digits = c("mn").rlike(r"^\d")
-    swap = digits & (F.col("_order") == "MDY")
-    year = F.coalesce(number("yf"), F.when(F.length(c("yt")) == 2, number("yt") + 2000).otherwise(number("yt")))
-    month = F.coalesce(number("af"), F.when(swap, number("dt")).when(digits, F.when(F.col("_order") == "DMY", number("mn"))).otherwise(alpha))
-    day = F.coalesce(number("bf"), F.when(swap, number("mn")).otherwise(number("dt")))
-    half = F.when(c("ap") == "", number("h")).when(number("h").between(1, 12), number("h") % 12 + F.when(c("ap") == "P", 12).otherwise(0)).otherwise(99)
-    df = df.select(
-        *(x for x in df.columns if x not in ("_t", "_c")), year.alias("_y"), month.alias("_m"), day.alias("_d"),
-        F.coalesce(half, F.lit(0)).alias("_h"), F.coalesce(number("mi"), F.lit(0)).alias("_mi"), F.coalesce(number("s"), F.lit(0)).alias("_s"),
-        (c("h") != "").alias("_timed"), c("z").alias("_z"), c("ep").alias("_ep"), F.expr(f"try_cast(_c[{COMPONENTS.index('ep')}] as decimal(20,0))").alias("_n"),
-    )
-    right = (
-        F.col("_y").between(1, 9999) & F.col("_m").between(1, 12) & (F.col("_d") >= 1) & (F.col("_d") <= month_days(F.col("_y"), F.col("_m")))
-        & F.col("_h").between(0, 23) & F.col("_mi").between(0, 59) & F.col("_s").between(0, 59)
-    )
-    width = F.length("_ep")
-    unit = F.when(width <= 11, 1).when(width <= 14, 1_000).when(width <= 17, 1_000_000).otherwise(1_000_000_000)
-    from_epoch = F.floor(F.col("_n") / unit.cast("decimal(10,0)")).cast("bigint")
-    df = df.withColumn("_day", F.when(right, day_number(F.col("_y"), F.col("_m"), F.col("_d"))))
-    df = df.withColumn("_local", F.col("_day") * 86_400 + F.col("_h") * 3_600 + F.col("_mi") * 60 + F.col("_s"))
-    bare = F.regexp_replace("_z", "^(?:UTC|GMT)(?=[+-])", "")
-    shift = F.expr("try_cast(substring(_zz, 2, 2) as int)") * 3_600 + F.coalesce(F.expr("try_cast(right(_zz, 2) as int)"), F.lit(0)) * F.when(F.length("_zz") > 3, 60).otherwise(0)
-    offset = (
-        F.when(F.col("_zz").isin("Z", "UTC", "GMT"), 0)
-        .when(F.col("_zz").rlike("^[+-]"), F.when(F.col("_zz").startswith("-"), -shift).otherwise(shift))
-        .otherwise(F.try_element_at("_offsets", F.col("_zz")))
-    )
-    df = df.withColumn("_zz", bare).withColumn("_off", F.when(F.col("_zz") != "", offset))
-    wall = F.timestamp_seconds("_local")
-    df = df.withColumn("_utc", F.when((F.col("_zz") == "") & F.col("_zone").isNotNull() & F.col("_timed"), F.to_utc_timestamp(wall, F.col("_zone"))))
-    skipped = F.col("_utc").isNotNull() & (F.from_utc_timestamp("_utc", F.col("_zone")) != wall)
-    midnight = F.when((F.col("_zz") == "") & F.col("_zone").isNotNull() & ~F.col("_timed"), F.unix_seconds(F.to_utc_timestamp(wall, F.col("_zone"))))
-    local_only = F.when((F.col("_zz") == "") & ~skipped, F.coalesce(F.unix_seconds("_utc"), midnight))
-    instant = F.coalesce(from_epoch, F.when(F.col("_zz") != "", F.col("_local") - F.col("_off")), local_only)
-    df = df.withColumn("instant", instant)
-    there = F.floor(F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("instant"), F.col("_zone"))) / F.lit(86_400)).cast("int")
-    zoned = (F.col("_ep") != "") | (F.col("_zz") != "")
-    named = F.when(~F.col("_timed") | F.col("_utc").isNotNull() & ~skipped, F.col("_day").cast("int"))
-    df = df.withColumn("day", F.when(zoned, there).otherwise(named))
-    return df.drop("_y", "_m", "_d", "_h", "_mi", "_s", "_timed", "_z", "_zz", "_ep", "_n", "_day", "_local", "_off", "_utc")
+def normal_texts(values: pd.Series, sources: pd.Series, day_wanted: pd.Series, known: dict[str, tuple[str | None, str | None]]) -> pd.Series:
+    """Normal form of each text, see normalise(). Distinct texts of a source are read once."""
+    frame = pd.DataFrame({"v": values.to_numpy(), "s": sources.to_numpy(), "w": day_wanted.to_numpy()})
+    out = np.full(len(frame), UNRESOLVED, dtype=object)
+    for source, part in frame.groupby("s", dropna=False, sort=False):
+        zone, order = known.get(source, (None, None)) if isinstance(source, str) else (None, None)
+        codes, texts = pd.factorize(part["v"])
+        day, has_day, instant, fixed = resolve(texts, zone, order)
+        days = day.astype("datetime64[D]").astype(str).astype(object)
+        instants = (np.datetime_as_string(instant.astype("datetime64[s]")).astype(object)) + "Z"
+        days, instants = np.where(has_day, days, UNRESOLVED), np.where(fixed, instants, UNRESOLVED)
+        out[part.index] = np.where(part["w"], days[codes], instants[codes])
+    return pd.Series(out)
 
 
 def normalise(df: DataFrame, sources: DataFrame, *, day_fields: list[str], instant_fields: list[str], source: str = "table_name", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
@@ -170,12 +240,15 @@ def normalise(df: DataFrame, sources: DataFrame, *, day_fields: list[str], insta
     sources: (table_name, time_zone, date_order). normal_value is yyyy-MM-dd for day fields, yyyy-MM-ddTHH:mm:ssZ for
     instant fields, or UNRESOLVED.
     """
-    known = F.broadcast(profiles(sources))
-    fields = [*day_fields, *instant_fields]
-    pairs = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields))
+    known = profiles(sources)
+
+    @F.pandas_udf("string")
+    def normal(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, origin, day_wanted in batches:
+            yield normal_texts(values, origin, day_wanted, known)
+
+    pairs = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in (*day_fields, *instant_fields)))
     long = df.select(F.struct(*keep).alias("_keep"), F.col(source).alias("_source"), F.explode(pairs).alias("p")).select("_keep", "_source", "p.*").where("value is not null")
-    long = long.join(known, "_source", "left")
-    out = parse(long, "value")
-    date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).cast("string")
-    text = F.when(F.col("field_name").isin(*day_fields), date).otherwise(_seconds_text(F.col("instant")))
-    return out.select("_keep.*", "field_name", "value", F.coalesce(text, F.lit(UNRESOLVED)).alias("normal_value"))
+    read = normal.asNondeterministic()  # else a filter on the result would run it once more
+    out = long.select("_keep", "field_name", "value", read("value", "_source", F.col("field_name").isin(*day_fields)).alias("normal_value"))
+    return out.select("_keep.*", "field_name", "value", "normal_value")

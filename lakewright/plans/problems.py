@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.operators import bad_rows, drift, late_events, once, timestamps
+from lakewright.functions.barrier import hold
 from lakewright.session import fresh_path, stage
-from lakewright.sources.envelopes import parsed_object, text_field, uuid_hex
+from lakewright.sources.envelopes import parsed, text_field, uuid_hex
 from lakewright.sources.tables import table
 from lakewright.vocab import CRASH_COLUMNS
 
@@ -71,8 +72,9 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:
     """Position, time and identifier of every delivery that holds a record with a UUID."""
-    bronze = table(spark, d, "bronze_crashes").select(*ORDER, parsed_object("raw_value").alias("e")).where("e is not null")
-    return bronze.select(*ORDER, uuid_hex(text_field("e", "record_id")).alias("id")).where("id is not null")
+    bronze = parsed(table(spark, d, "bronze_crashes").select(*ORDER, "raw_value"), "raw_value")
+    named = hold(bronze.select(*ORDER, "envelope"), uuid_hex(text_field("envelope", "record_id")).alias("id"))
+    return named.where("id is not null").drop("envelope")
 
 
 def p4_once(spark: SparkSession, d: str) -> DataFrame:

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.functions.barrier import hold
 from lakewright.vocab import ENVELOPE_KEYS
 
 
-def parsed_object(raw: str) -> Column:
-    """The text as a variant if the whole of it is one JSON object, else NULL.
+def parsed(df: DataFrame, raw: str, name: str = "envelope") -> DataFrame:
+    """Adds the text ``raw`` as a variant where the whole of it is one JSON object; other rows are left out.
 
     The parser stops after the first value, so the text is read as the only element of an array: anything that
-    follows the object then breaks the array.
+    follows the object then breaks the array, or is a second element. Each text is parsed once.
     """
-    element = F.expr(f"try_variant_get(try_parse_json(concat('[', `{raw}`, ']')), '$[0]', 'variant')")
-    alone = F.expr(f"try_variant_get(try_parse_json(concat('[', `{raw}`, ']')), '$[1]', 'variant')").isNull()
-    return F.when(F.col(raw).rlike(r"^\s*\{") & F.col(raw).rlike(r"\}\s*$") & alone, element)
+    looks = F.col(raw).rlike(r"^\s*\{") & F.rtrim(raw).endswith("}")
+    one = hold(df.where(looks), F.expr(f"try_parse_json(concat('[', `{raw}`, ']'))").alias("_array"))
+    one = hold(one, F.expr("try_variant_get(_array, '$[0]', 'variant')").alias(name), F.expr("is_variant_null(coalesce(try_variant_get(_array, '$[1]', 'variant'), parse_json('null')))").alias("_alone"))
+    return one.where(F.col(name).isNotNull() & F.col("_alone")).drop("_array", "_alone")
 
 
-def entries(envelope: str) -> Column:
-    """map<string,variant> of the record's fields: those of ``payload``, or the top level without envelope keys.
+def fields(df: DataFrame, envelope: str = "envelope", name: str = "fields") -> DataFrame:
+    """Adds map<string,variant> of the record's fields: those of ``payload``, or the top level without envelope keys.
 
-    NULL if there is a payload that is no object.
+    Rows with a payload that is no object are left out.
     """
-    payload = F.expr(f"try_variant_get({envelope}, '$.payload', 'map<string,variant>')")
-    top = F.expr(f"try_variant_get({envelope}, '$', 'map<string,variant>')")
-    has_payload = F.array_contains(F.map_keys(top), "payload")
-    flat = F.map_filter(top, lambda k, _: ~k.isin(*ENVELOPE_KEYS))
-    return F.when(has_payload, payload).otherwise(flat)
+    top = hold(df, F.expr(f"try_variant_get({envelope}, '$', 'map<string,variant>')").alias("_top"))
+    flat = F.map_filter("_top", lambda k, _: ~k.isin(*ENVELOPE_KEYS))
+    payload = F.expr("try_variant_get(try_element_at(_top, 'payload'), '$', 'map<string,variant>')")
+    found = hold(top, F.when(F.map_contains_key("_top", F.lit("payload")), payload).otherwise(flat).alias(name))
+    return found.where(F.col(name).isNotNull()).drop("_top")
 
 
 def text_field(envelope: str, name: str) -> Column:
