@@ -11,7 +11,7 @@ located by sampled suffix positions, and the edges of the phrase, which the symb
 Phrases with too few cuts for a symbol are searched in the stream directly. Nothing is sampled or left out, and no document leaves
 its partition: the phrases, a fixed list whose size is checked, go to the workers in blocks.
 
-Defined results: NULL or empty texts and items hold nothing; items with fewer words than the window give no phrase; repeated
+Defined results: NULL or empty texts and items hold nothing, nor do rows without id; items with fewer words than the window give no phrase; repeated
 rows give one pair.
 """
 
@@ -287,7 +287,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
     The items are read to the driver in blocks of a bounded number of words; the documents are read once per block.
     """
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_text).isNotNull()).toLocalIterator()]
+    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator()]
     blocks, size = [[]], 0
     for row in rows:
         size += max(0, len(row[1].split()) - window + 1)
@@ -305,7 +305,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
                     if found := _spans(shard, query):
                         yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end"])
 
-        return documents.select(doc_id, text).mapInPandas(run, schema)
+        return documents.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).mapInPandas(run, schema)
 
     return reduce(DataFrame.unionByName, map(one, blocks))
 

@@ -7,7 +7,7 @@ word's beginning on. Sizes are tokens of a public tokenizer, exact for each piec
 
 Texts of at most as many bytes as the limit has tokens can't exceed it and aren't encoded. Each text is split where it lies: no shuffle.
 
-Defined results: NULL, empty and small texts give no pieces; repeated rows give their pieces each.
+Defined results: NULL, empty and small texts, and rows without id, give no pieces; repeated rows give their pieces each.
 """
 
 from __future__ import annotations
@@ -140,5 +140,5 @@ def pieces(documents: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP,
                     rows.append((doc, k, start, body, end, n, *([text[start:end]] if with_text else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "body_start", "end", "n_tokens", *(["text"] if with_text else [])])
 
-    large = documents.select("doc_id", "text").where(F.octet_length("text") > limit)
+    large = documents.select("doc_id", "text").where((F.octet_length("text") > limit) & F.col("doc_id").isNotNull())
     return large.mapInPandas(run, schema)
