@@ -78,14 +78,14 @@ def keep_once(
     a batch that was committed already changes nothing in the state, and its kept arrivals are found again. ``arrivals``
     should be a scan.
     """
-    rows = arrivals.where(F.col(identifier).isNotNull())
+    rows = arrivals.drop("keep").where(F.col(identifier).isNotNull())
     if batch is not None and batch in state.batches():
         first = state.spark.read.parquet(*[f"{state.path}/{x}" for x in state.manifest.current()["kept"] if x.startswith(f"kept/{batch}-")])
     else:
         first = _commit(rows, state, identifier, position, order, batch)
     kept = first.select(*position, F.lit(True).alias("keep"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"k.{c}")) for c in position]
-    joined = rows.alias("a").join(kept.alias("k"), on, "left")
+    joined = rows.alias("a").join(kept.distinct().alias("k"), on, "left")
     return joined.select("a.*", F.coalesce("k.keep", F.lit(False)).alias("keep"))
 
 

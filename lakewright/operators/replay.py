@@ -1,0 +1,41 @@
+"""Parked records read again: keys renamed or dropped, the contract checked once more, values standardized anew."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lakewright.operators import contract
+
+
+def reshape(raw: str, rename: Mapping[str, str], drop: Sequence[str] = ()) -> Column:
+    """JSON text of an envelope whose payload keys are renamed or dropped. Values stay as they are.
+
+    NULL where a key and its new name are both there: one of them would be lost.
+    """
+    top = F.from_json(F.col(raw), "map<string,string>")
+    inner = F.from_json(F.try_element_at(top, F.lit("payload")), "map<string,string>")
+    clash = F.lit(False)
+    for old, new in rename.items():
+        clash = clash | (F.map_contains_key(inner, F.lit(old)) & F.map_contains_key(inner, F.lit(new)))
+    named = F.create_map(*(F.lit(x) for pair in rename.items() for x in pair)) if rename else F.create_map().cast("map<string,string>")
+    kept = F.filter(F.map_entries(inner), lambda e: ~e["key"].isin(*drop)) if drop else F.map_entries(inner)
+    moved = F.map_from_entries(F.transform(kept, lambda e: F.struct(F.coalesce(F.try_element_at(named, e["key"]), e["key"]).alias("key"), e["value"].alias("value"))))
+    meta = F.struct(*(F.try_element_at(top, F.lit(k)).alias(k) for k in ("record_id", "batch_id", "table_name", "ingestion_ts")), moved.alias("payload"))
+    return F.when(~F.coalesce(clash, F.lit(False)) & inner.isNotNull(), F.to_json(meta, {"ignoreNullFields": "false"}))
+
+
+def renamed_batches(bronze: DataFrame, batch: Sequence[str], rename: Mapping[str, str], drop: Sequence[str] = ()) -> DataFrame:
+    """(batch..., records, passing, ready): how each batch fares once its keys are renamed. Only a batch that passes as a whole is ready."""
+    checked = contract.check(bronze.withColumn("raw_value", reshape("raw_value", rename, drop)))
+    passes = F.sum(F.when(F.col("error_class").isNull() & F.col("raw_value").isNotNull(), 1).otherwise(0))
+    return checked.groupBy(*batch).agg(F.count("*").alias("records"), passes.alias("passing")).withColumn("ready", F.col("records") == F.col("passing"))
+
+
+def conserved(selected: DataFrame, released: DataFrame, held: DataFrame, key: str = "record_id") -> DataFrame:
+    """One row of checks: nothing lost, nothing doubled, nothing new."""
+    counts = [df.agg(F.count("*").alias(n), F.count_distinct(key).alias(f"{n}_ids")) for df, n in ((selected, "selected"), (released, "released"), (held, "held"))]
+    one = counts[0].join(counts[1]).join(counts[2])  # one row each
+    return one.withColumn("conserved", F.col("selected") == F.col("released") + F.col("held")).withColumn("disjoint", F.col("selected_ids") == F.col("released_ids") + F.col("held_ids"))
