@@ -12,21 +12,20 @@ from pyspark.sql import functions as F
 def damerau(a: str, b: str) -> int:
     """Damerau-Levenshtein distance in which swapped letters may be edited again."""
     last: dict[str, int] = {}
-    big = len(a) + len(b)
-    d = {(-1, -1): big}
-    for i in range(len(a) + 1):
-        d[i, -1], d[i, 0] = big, i
-    for j in range(len(b) + 1):
-        d[-1, j], d[0, j] = big, j
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        column = 0
+        above, row, column = rows[-1], [i], 0
         for j, y in enumerate(b, 1):
-            k, m = last.get(y, 0), column
+            best = min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y))
+            k = last.get(y, 0)
+            if k and column:  # the pair was met in the other order at (k, column)
+                best = min(best, rows[k - 1][column - 1] + (i - k - 1) + 1 + (j - column - 1))
             if x == y:
                 column = j
-            d[i, j] = min(d[i - 1, j - 1] + (x != y), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
+            row.append(best)
         last[x] = i
-    return d[len(a), len(b)]
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def aligned(a: str, b: str) -> int:

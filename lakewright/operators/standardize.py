@@ -10,6 +10,7 @@ Defined results: NULL and blank input gives NULL and no failure, save for the ma
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -83,15 +84,17 @@ def guarded(value: str | None, of: list[tuple[str, str]]) -> tuple[str, int] | N
     key = (value or "").strip().upper()
     if len(key) < MIN_LENGTH:
         return None
+    most = max(1, int(len(key) * SHARE))
     best: tuple[int, str] | None = None
     nearest: dict[str, int] = {}
     for spelling, canonical in of:
-        d = damerau(key, spelling)
+        apart = abs(len(key) - len(spelling))
+        d = damerau(key, spelling) if apart < most + MARGIN else most + MARGIN  # so far away it neither wins nor competes
         nearest[canonical] = min(d, nearest.get(canonical, d))
         may_win = spelling == canonical or (sum(x.isalpha() for x in spelling) >= SYNONYM_LETTERS and d <= SYNONYM_DISTANCE)
         if may_win and (best is None or (d, canonical) < best):
             best = (d, canonical)
-    if best is None or best[0] > max(1, int(len(key) * SHARE)):
+    if best is None or best[0] > most:
         return None
     other = min((d for c, d in nearest.items() if c != best[1]), default=1000)
     return (best[1], best[0]) if other - best[0] >= MARGIN else None
@@ -127,9 +130,21 @@ def exact(field: str, value: Column, mappings: Mapping[str, Mapping[str, str]])
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair)), F.upper(F.trim(value)))
 
 
+def shape(form: str) -> str:
+    """Regular expression of the texts that a format can fit."""
+    widths = {"yyyy": r"\d{4}", "SSS": r"\d{3}", "a": "[AaPp][Mm]"}
+    out = ""
+    for m in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|([^A-Za-z'])", form):
+        if m[1] is not None or m[4] is not None:
+            out += re.escape(m[1] if m[1] is not None else m[4])
+        else:
+            out += widths.get(m[2], r"\d{2}" if len(m[2]) == 2 else r"\d{1,2}")
+    return f"^{out}$"
+
+
 def first_time(value: Column, formats: tuple[str, ...]) -> Column:
-    """Timestamp by the first format that fits."""
-    return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats))
+    """Timestamp by the first format that fits. Only texts of a format's shape are parsed: a failed attempt is dear."""
+    return F.coalesce(*(F.when(value.rlike(shape(f)), F.try_to_timestamp(value, F.lit(f))) for f in formats))
 
 
 def standard_date(value: Column, day_first: Column) -> Column:

@@ -334,6 +334,50 @@ def fault_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return faults.outcomes(done, "crash_month")
 
 
+def canonical_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ref_canonical_mappings").groupBy("field_name").agg(F.array_sort(F.collect_set("canonical_value")).alias("v"))
+    return rows.select("field_name", F.size("v").alias("n"), F.array_join("v", "|").alias("canonical_values"))
+
+
+def batch_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each batch with their first and last arrival and the blanks among their dates."""
+    rows = table(spark, d, "silver1_crashes").groupBy("table_name", "batch_id")
+    blank = F.sum(F.when(F.col("crash_date").isNull(), 1).otherwise(0)).alias("without_date")
+    return rows.agg(F.count("*").alias("records"), F.min("kafka_timestamp").alias("first_at"), F.max("kafka_timestamp").alias("last_at"), blank)
+
+
+def promotion_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelt months that the guarded match resolves in at least 5 records of at least 3 batches."""
+    ref = table(spark, d, "ref_canonical_mappings")
+    fixes = _fuzzy(spark, d).where("field_name = 'crash_month' and canonical is not null")
+    seen = table(spark, d, "silver1_crashes").select(F.upper(F.trim("crash_month")).alias("value"), F.concat_ws(":", "table_name", "batch_id").alias("batch"))
+    counted = seen.groupBy("value").agg(F.count("*").alias("records"), F.count_distinct("batch").alias("batches")).where("records >= 5 and batches >= 3")
+    known = ref.where("field_name = 'crash_month'").select(F.upper(F.trim("raw_synonym")).alias("value"))
+    return counted.join(fixes, "value").join(known, "value", "left_anti").select("value", "canonical", "records", "batches")
+
+
+def id_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Ids by the tables they occur in: intersection and differences as set operations."""
+    a, b = table(spark, d, "silver1_crashes").select("record_id"), table(spark, d, "silver2_crashes").select("record_id")
+    sets = {"both": a.intersect(b), "first_only": a.exceptAll(b).distinct().subtract(b), "second_only": b.subtract(a)}
+    parts = [s.agg(F.lit(name).alias("which"), F.count("*").alias("ids")) for name, s in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def stream_to_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The raw messages streamed through the guard into clean and parked tables, then counted."""
+    from lakewright.session import fresh_path
+    from lakewright.sources.versioned import VersionedTable
+    from lakewright.streaming import layers
+
+    root = fresh_path(spark, "stream")
+    good, parked = VersionedTable(spark, f"{root}/clean"), VersionedTable(spark, f"{root}/parked")
+    query = layers.start(layers.messages(spark, f"{d}/bronze_crashes.parque[t]"), layers.to_clean(good, parked, "bronze"), f"{root}/checkpoint", f"stream-{root[-8:]}")
+    query.awaitTermination()
+    parts = [t.read().groupBy("topic").agg(F.lit(name).alias("layer"), F.count("*").alias("records")) for name, t in (("clean", good), ("parked", parked))]
+    return parts[0].unionByName(parts[1])
+
+
 # -- SQL
 
 _TOP = "json_valid(raw_value) AND json_type(raw_value) = 'OBJECT'"
@@ -441,6 +485,11 @@ FROM events WHERE value IS NOT NULL GROUP BY event_type
 _ARRIVED = "SELECT record_id, {f}(struct_pack(a := ingestion_ts, b := crash_hour, c := weather_condition, d := damage)) AS r FROM silver2_crashes GROUP BY record_id"
 
 ORACLE = {
+    "canonical_values": "SELECT field_name, CAST(count(DISTINCT canonical_value) AS INT) AS n, array_to_string(list_sort(list(DISTINCT canonical_value)), '|') AS canonical_values FROM ref_canonical_mappings GROUP BY 1",
+    "batch_runs": "SELECT table_name, batch_id, count(*) AS records, min(kafka_timestamp) AS first_at, max(kafka_timestamp) AS last_at, CAST(sum(CASE WHEN crash_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_date FROM silver1_crashes GROUP BY 1, 2",
+    "promotion_candidates": _FUZZY + ", p AS (SELECT upper(trim(crash_month)) AS value, count(*) AS records, count(DISTINCT table_name || ':' || batch_id) AS batches FROM silver1_crashes GROUP BY 1) SELECT value, canonical, records, batches FROM p JOIN r USING (value) WHERE r.field_name = 'crash_month' AND canonical IS NOT NULL AND records >= 5 AND batches >= 3",
+    "id_set_operations": "WITH a AS (SELECT DISTINCT record_id FROM silver1_crashes), b AS (SELECT DISTINCT record_id FROM silver2_crashes) SELECT 'both' AS which, count(*) AS ids FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second_only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
+    "stream_to_layers": _GUARD + "SELECT b.topic, CASE WHEN g.topic IS NULL THEN 'clean' ELSE 'parked' END AS layer, count(*) AS records FROM bronze_crashes b LEFT JOIN g USING (topic, kafka_partition, kafka_offset) GROUP BY 1, 2",
     "clean_projection": f"WITH e AS (SELECT topic, kafka_partition, kafka_offset, CASE WHEN json_type(raw_value, '$.payload') IS NULL THEN raw_value ELSE json_extract(raw_value, '$.payload') END AS p FROM bronze_crashes WHERE {_TOP}) SELECT topic, kafka_partition, kafka_offset, "
     + ", ".join("nullif(" + _CLEAN[c].replace("(x)", f"(json_extract_string(p, '$.{c}'))") + f", '') AS {c}" for c in SHOWN) + " FROM e",
     "union_sources_tagged": "SELECT table_name AS source_table, count(*) AS records, count(CASE WHEN table_name <> 'Crash2' THEN dooring_i END) AS dooring FROM silver2_crashes WHERE table_name IN ('Crash1', 'Crash2', 'Crash3', 'Crash4') GROUP BY 1",
@@ -496,7 +545,8 @@ NAMES = (
     edit_distance, fuzzy_canonical, fuzzy_audit, standardize_route_counts, columns_to_remediate, quarantine_failures, gold_projection, dedup_business_key, metric_daily,
     metric_conditions, metric_time_pattern, metric_causes, metric_areas, failures_once, failures_merged, column_set_jaccard, lineage_closure, failure_impact, failure_ranking,
     incident_matches, vector_topk, record_trace, layer_differences, mentioned_ids, layer_overview, waiting_counts, never_standardized, parked_and_clean, hash_sample, id_lookup,
-    next_record, event_spread, failure_rates, outcome_pivot, json_props, scalar_functions, replay_renamed, replay_conservation, fault_outcomes,
+    next_record, event_spread, failure_rates, outcome_pivot, json_props, scalar_functions, replay_renamed, replay_conservation, fault_outcomes, canonical_values, batch_runs,
+    promotion_candidates, id_set_operations, stream_to_layers,
 )
 
 
