@@ -411,13 +411,11 @@ def _strptime(formats: list[str], text: str = "crash_date") -> str:
 _ISO = ["%Y-%m-%dT%H:%M:%S.%g", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d"]
 _MDY = ["%m/%d/%Y %I:%M:%S %p", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y", "%m-%d-%Y"]
 _DMY = [f.replace("%m", "%_").replace("%d", "%m").replace("%_", "%d") for f in _MDY]
-_FUZZY = f"""
-WITH {_LATEST},
+_FUZZY = "WITH " + _LATEST + """,
 seeds AS (SELECT DISTINCT field_name, upper(trim(raw_synonym)) AS s, upper(trim(canonical_value)) AS c FROM ref_canonical_mappings WHERE added_by = 'seed'),
 spell AS (SELECT DISTINCT field_name, c AS s, c FROM seeds UNION SELECT field_name, s, c FROM seeds WHERE length(regexp_replace(s, '[^A-Z]', '', 'g')) >= 3),
 anchor AS (SELECT field_name, s, CASE WHEN bool_or(s = c) THEN s ELSE min(c) END AS c FROM spell GROUP BY field_name, s HAVING count(DISTINCT c) = 1 OR bool_or(s = c)),
-vals AS (SELECT DISTINCT 'weather_condition' AS field_name, upper(trim(weather_condition)) AS value FROM silver1_crashes WHERE weather_condition IS NOT NULL
-         UNION SELECT DISTINCT 'crash_month', upper(trim(crash_month)) FROM silver1_crashes WHERE crash_month IS NOT NULL),
+vals AS (""" + " UNION ".join(f"SELECT '{c}' AS field_name, upper(trim({c})) AS value FROM silver1_crashes WHERE {c} IS NOT NULL" for c in standardize.FUZZY) + """),
 open AS (SELECT v.* FROM vals v ANTI JOIN latest l ON l.field_name = v.field_name AND l.spelling = v.value),
 d AS (SELECT o.field_name, o.value, a.s, a.c, damerau_levenshtein(o.value, a.s) AS d FROM open o JOIN anchor a USING (field_name)),
 per AS (SELECT field_name, value, c, min(d) AS any_d, min(CASE WHEN s = c OR (length(regexp_replace(s, '[^A-Z]', '', 'g')) >= 6 AND d <= 1) THEN d END) AS win FROM d GROUP BY ALL),
@@ -425,6 +423,37 @@ best AS (SELECT field_name, value, min(struct_pack(d := win, c := c)) FILTER (WH
 f AS (SELECT b.field_name, b.value, b.b.c AS c, b.b.d AS d, COALESCE((SELECT min(p.any_d) FROM per p WHERE p.field_name = b.field_name AND p.value = b.value AND p.c <> b.b.c), 1000) AS other FROM best b),
 r AS (SELECT field_name, value, CASE WHEN ok THEN c END AS canonical, CASE WHEN ok THEN d END AS distance FROM (SELECT *, length(value) >= 4 AND d <= greatest(1, CAST(floor(length(value) * 0.25) AS INT)) AND other - d >= 2 AS ok FROM f))
 """
+_CLOCK = ["%I %p", "%H:%M", "%I:%M %p", "%H.%M", "%I.%M %p"]
+
+
+def _mapped(c: str) -> str:
+    return f"(SELECT min(canonical_value) FROM latest l WHERE l.field_name = '{c}' AND l.spelling = upper(trim(b.{c})))"
+
+
+def _hour(mapped: str) -> str:
+    """Hour of crash_hour as a number, before its range is checked."""
+    number = r"CASE WHEN regexp_full_match(trim(crash_hour), '\d{1,2}(\.\d+)?') THEN CAST(trunc(TRY_CAST(trim(crash_hour) AS DOUBLE)) AS INT) WHEN regexp_full_match(trim(crash_hour), '\d{3}') THEN TRY_CAST(trim(crash_hour) AS INT) END"
+    return f"COALESCE(TRY_CAST({mapped} AS INT), CAST(hour({_strptime(_CLOCK, 'crash_hour')}) AS INT), {number})"
+
+
+def _standard_sql() -> str:
+    """x: one row per column that resists in a record; every record of the clean table has a number in b."""
+    date_ = f"CASE WHEN df THEN {_strptime([*_ISO, *_DMY, '%Y%m%d'])} ELSE {_strptime([*_ISO, *_MDY, *_DMY, '%Y%m%d'])} END"
+    iso = [f for f in _ISO if f != "%Y/%m/%d"]
+    police = f"CASE WHEN df THEN {_strptime([*iso, *_DMY], 'date_police_notified')} ELSE {_strptime([*iso, *_MDY], 'date_police_notified')} END"
+    bad = {c: f"NOT EXISTS (SELECT 1 FROM latest l WHERE l.field_name = '{c}' AND l.spelling = upper(trim(b.{c}))) AND NOT EXISTS (SELECT 1 FROM r WHERE r.field_name = '{c}' AND r.value = upper(trim(b.{c})) AND canonical IS NOT NULL)" for c in standardize.FUZZY}
+    bad |= {
+        "damage": f"{_mapped('damage')} IS NULL", "hit_and_run_i": f"TRY_CAST({_mapped('hit_and_run_i')} AS BOOLEAN) IS NULL", "date_police_notified": f"({police}) IS NULL",
+        "crash_hour": f"COALESCE({_hour(_mapped('crash_hour'))}, 99) NOT BETWEEN 0 AND 23", "num_units": f"{_mapped('num_units')} IS NULL AND regexp_extract(num_units, '\\d') = ''",
+        "posted_speed_limit": "regexp_extract(posted_speed_limit, '\\d') = ''",
+    }
+    parts = [f"SELECT n, table_name, batch_id, record_id, '{c}' AS column_name, {c} AS value FROM b WHERE {c} IS NOT NULL AND trim({c}) <> '' AND {rule}" for c, rule in bad.items()]
+    parts.append(f"SELECT n, table_name, batch_id, record_id, 'crash_date' AS column_name, COALESCE(crash_date, '{standardize.MISSING}') AS value FROM b WHERE ({date_}) IS NULL")
+    numbered = "b AS (SELECT s.*, COALESCE(date_order = 'DMY', false) AS df, row_number() OVER () AS n FROM silver1_crashes s LEFT JOIN source_profiles USING (table_name))"
+    return _FUZZY + f", {numbered}, x AS ({' UNION ALL '.join(parts)})"
+
+
+_FIXES = " + ".join(f"CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.field_name = '{c}' AND r.value = upper(trim(b.{c})) AND canonical IS NOT NULL) THEN 1 ELSE 0 END" for c in standardize.FUZZY)
 _GOLD = """
 WITH t AS (SELECT record_id, crash_record_id, table_name AS source_table, TRY_CAST(crash_date AS DATE) AS crash_date, TRY_CAST(trunc(TRY_CAST(crash_hour AS DOUBLE)) AS INT) AS crash_hour, crash_day_of_week, beat_of_occurrence,
   weather_condition, lighting_condition, roadway_surface_cond, prim_contributory_cause, TRY_CAST(posted_speed_limit AS INT) AS posted_speed_limit, hit_and_run_i, TRY_CAST(latitude AS DOUBLE) AS latitude,
@@ -485,6 +514,10 @@ FROM events WHERE value IS NOT NULL GROUP BY event_type
 _ARRIVED = "SELECT record_id, {f}(struct_pack(a := ingestion_ts, b := crash_hour, c := weather_condition, d := damage)) AS r FROM silver2_crashes GROUP BY record_id"
 
 ORACLE = {
+    "parse_hours": f"SELECT DISTINCT crash_hour, CASE WHEN h BETWEEN 0 AND 23 THEN lpad(CAST(h AS VARCHAR), 2, '0') || '.00' END AS standard FROM (SELECT crash_hour, {_hour('NULL')} AS h FROM silver1_crashes)",
+    "columns_to_remediate": _standard_sql() + "SELECT column_name, upper(trim(value)) AS value, count(*) AS records FROM x GROUP BY 1, 2",
+    "standardize_route_counts": _standard_sql() + f"SELECT table_name, count(*) AS records, count(*) FILTER (n NOT IN (SELECT n FROM x)) AS valid, CAST(sum({_FIXES}) AS BIGINT) AS fuzzy_fixes FROM b GROUP BY table_name",
+    "quarantine_failures": _standard_sql() + ", p AS (SELECT table_name AS folder, column_name, upper(trim(value)) AS raw_value, batch_id, count(*) AS k, min(record_id) AS sample FROM x GROUP BY 1, 2, 3, 4) SELECT folder, column_name, raw_value, CAST(sum(k) AS BIGINT) AS rows_affected, count(*) AS batches, array_to_string(list_sort(list(DISTINCT sample))[1:5], ',') AS samples, column_name = 'crash_date' AS mandatory FROM p GROUP BY 1, 2, 3",
     "canonical_values": "SELECT field_name, CAST(count(DISTINCT canonical_value) AS INT) AS n, array_to_string(list_sort(list(DISTINCT canonical_value)), '|') AS canonical_values FROM ref_canonical_mappings GROUP BY 1",
     "batch_runs": "SELECT table_name, batch_id, count(*) AS records, min(kafka_timestamp) AS first_at, max(kafka_timestamp) AS last_at, CAST(sum(CASE WHEN crash_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_date FROM silver1_crashes GROUP BY 1, 2",
     "promotion_candidates": _FUZZY + ", p AS (SELECT upper(trim(crash_month)) AS value, count(*) AS records, count(DISTINCT table_name || ':' || batch_id) AS batches FROM silver1_crashes GROUP BY 1) SELECT value, canonical, records, batches FROM p JOIN r USING (value) WHERE r.field_name = 'crash_month' AND canonical IS NOT NULL AND records >= 5 AND batches >= 3",
@@ -501,8 +534,8 @@ ORACLE = {
     "parse_dates": f"SELECT DISTINCT crash_date, COALESCE(date_order = 'DMY', false) AS day_first, strftime(CASE WHEN date_order = 'DMY' THEN {_strptime([*_ISO, *_DMY, '%Y%m%d'])} ELSE {_strptime([*_ISO, *_MDY, *_DMY, '%Y%m%d'])} END, '%Y-%m-%d') AS standard FROM silver1_crashes LEFT JOIN source_profiles USING (table_name) WHERE crash_date IS NOT NULL",
     "parse_numbers": r"SELECT DISTINCT posted_speed_limit, num_units, TRY_CAST(nullif(regexp_extract(posted_speed_limit, '(\d{1,4})', 1), '') AS INT) AS speed, CAST(TRY_CAST(nullif(regexp_extract(num_units, '(\d{1,8}(\.\d+)?)', 1), '') AS DECIMAL(10, 1)) AS DOUBLE) AS units FROM silver1_crashes",
     "edit_distance": "SELECT DISTINCT upper(trim(crash_month)) AS a, CAST(damerau_levenshtein(upper(trim(crash_month)), 'SEPTEMBER') AS INT) AS distance FROM silver1_crashes WHERE crash_month IS NOT NULL",
-    "fuzzy_canonical": _FUZZY + "SELECT field_name, value, canonical FROM r",
-    "fuzzy_audit": _FUZZY + "SELECT field_name, value, canonical, CAST(distance AS INT) AS distance FROM r WHERE canonical IS NOT NULL",
+    "fuzzy_canonical": _FUZZY + "SELECT field_name, value, canonical FROM r WHERE field_name IN ('weather_condition', 'crash_month')",
+    "fuzzy_audit": _FUZZY + "SELECT field_name, value, canonical, CAST(distance AS INT) AS distance FROM r WHERE canonical IS NOT NULL AND field_name IN ('weather_condition', 'crash_month')",
     "gold_projection": _GOLD + "SELECT record_id, source_table, crash_date, crash_hour, latitude, num_units, injuries_total, crash_year, is_weekend, time_of_day, is_injury_crash, is_fatal_crash, is_injected FROM g",
     "dedup_business_key": _GOLD + "SELECT crash_record_id, record_id, source_table FROM r",
     "metric_daily": _GOLD + f"SELECT crash_date, crash_year, min(is_weekend) AS is_weekend, {_N}, CAST(sum(CASE WHEN hit_and_run_i THEN 1 ELSE 0 END) AS BIGINT) AS hit_and_run_crashes FROM r WHERE crash_date IS NOT NULL GROUP BY crash_date, crash_year",
