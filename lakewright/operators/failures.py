@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Families of failure types, and another name of one.
@@ -64,21 +64,36 @@ def delivered_once(failures: DataFrame) -> DataFrame:
     return kept.select("failure_id", "_r.*").select(*failures.columns)
 
 
+def least(rows: DataFrame, by: list[str], value: str, k: int, name: str) -> DataFrame:
+    """(by..., name): the k least distinct values of each group, in order. Ranked with a limit before the shuffle."""
+    distinct = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")).distinct()
+    ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_v"))).where(F.col("_n") <= k)
+    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list("_v")).alias(name))
+
+
 def merged(failures: DataFrame) -> DataFrame:
     """Failures of one folder and signature as one: rows summed (NULL if all are), batches united, least samples, trusted if all are."""
-    rows = with_signature(delivered_once(failures))
-    return rows.groupBy("folder", "signature_key").agg(
+    rows, keys = with_signature(delivered_once(failures)), ["folder", "signature_key"]
+    own = F.slice(F.array_sort(F.coalesce("sample_record_ids", F.array().cast("array<string>"))), 1, SAMPLES)
+    samples = least(rows.select(*keys, F.explode(own).alias("id")), keys, "id", SAMPLES, "samples")
+    sums = rows.groupBy(*keys).agg(
         F.count("*").alias("reports"), F.sum("rows_affected").alias("rows_affected"), F.array_sort(F.collect_set("batch_id")).alias("batches"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice(F.array_sort(F.coalesce("sample_record_ids", F.array().cast("array<string>"))), 1, SAMPLES))))), 1, SAMPLES).alias("samples"),
         F.bool_and("trusted").alias("trusted"), F.max("mandatory").alias("mandatory"), F.max("failure_type").alias("failure_type"),
     )
+    return _null_safe(sums, samples, keys).withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which NULL keys are equal."""
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    rest = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), on, "left").select("l.*", *rest)
 
 
 def from_quarantine(quarantined: DataFrame, *, folder: str = "table_name", batch: str = "batch_id", mandatory: tuple[str, ...] = ("crash_date",)) -> DataFrame:
-    """Failures of quarantined rows by folder, column and value. Samples are the least record ids, kept small while aggregating."""
+    """Failures of quarantined rows by folder, column and value. Samples are the least of the batches' least record ids."""
+    keys = ["folder", "column_name", "raw_value"]
     long = quarantined.select(F.col(folder).alias("folder"), F.col(batch).alias("batch"), "record_id", F.explode("columns_to_remediate").alias("column_name", "value"))
     first = long.groupBy("folder", "column_name", F.upper(F.trim("value")).alias("raw_value"), "batch").agg(F.count("*").alias("n"), F.min("record_id").alias("sample"))
-    return first.groupBy("folder", "column_name", "raw_value").agg(
-        F.sum("n").alias("rows_affected"), F.count("*").alias("batches"), F.slice(F.array_sort(F.collect_set("sample")), 1, SAMPLES).alias("samples"),
-        F.max(F.col("column_name").isin(*mandatory)).alias("mandatory"),
-    )
+    sums = first.groupBy(*keys).agg(F.sum("n").alias("rows_affected"), F.count("*").alias("batches"), F.max(F.col("column_name").isin(*mandatory)).alias("mandatory"))
+    return _null_safe(sums, least(first, keys, "sample", SAMPLES, "samples"), keys).select(*keys, "rows_affected", "batches", "samples", "mandatory")

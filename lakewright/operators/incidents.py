@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from lakewright.operators.failures import canonical_type, family
 WEIGHTS = {"failure_type": 0.25, "column": 0.25, "table": 0.15, "value": 0.35}
 THRESHOLD, TOP_K = 0.85, 3
 
+#: Queries that are sent to all workers at a time.
+BLOCK = 10_000
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; 1 for two empty sets."""
@@ -20,12 +25,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
+def in_blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """A query set cut by hash into blocks of about ``size`` rows, each small enough to be sent to all workers."""
+    n = max(1, -(-queries.count() // size))
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return [F.broadcast(queries.where(block == b)) for b in range(n)]
+
+
 def similar(failures: DataFrame, incidents: DataFrame, *, k: int = TOP_K) -> DataFrame:
     """The k most similar incidents of each failure with the score (4 decimals).
 
-    Both have signature_id, failure_type, column_name, table_name, layer, raw_value, one row per signature. Only pairs of one column
-    are scored: others lose the column's share and can't reach the threshold. The value is compared once per pair of texts.
+    Both have signature_id, failure_type, column_name, table_name, layer, raw_value, one row per signature. The failures are a query set,
+    sent to the incidents block by block. Only incidents of the same column are scored: others lose the column's share and can't
+    reach the threshold. The value is compared once per pair of texts.
     """
+    scored = reduce(DataFrame.unionByName, (_scored(block, incidents) for block in in_blocks(failures, "signature_id", BLOCK)))
+    best = Window.partitionBy("signature_id").orderBy(F.col("score").desc(), "incident_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _scored(failures: DataFrame, incidents: DataFrame) -> DataFrame:
     f, i = failures.alias("f"), incidents.alias("i")
     pairs = f.join(i, F.col("f.column_name").eqNullSafe(F.col("i.column_name")))
     kinds = canonical_type(F.col("f.failure_type")) == canonical_type(F.col("i.failure_type"))
@@ -33,9 +52,7 @@ def similar(failures: DataFrame, incidents: DataFrame, *, k: int = TOP_K) -> Dat
     table = F.when(F.col("f.table_name") == F.col("i.table_name"), 1.0).when(F.col("f.layer") == F.col("i.layer"), 0.7).otherwise(0.0)
     pairs = pairs.withColumn("value", similarity_column(F.col("f.raw_value"), F.col("i.raw_value")))
     score = WEIGHTS["failure_type"] * F.when(kinds, 1.0).when(kin, 0.5).otherwise(0.0) + WEIGHTS["column"] + WEIGHTS["table"] * table + WEIGHTS["value"] * F.col("value")
-    scored = pairs.select(F.col("f.signature_id").alias("signature_id"), F.col("i.signature_id").alias("incident_id"), F.round(score, 4).alias("score"))
-    best = Window.partitionBy("signature_id").orderBy(F.col("score").desc(), "incident_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return pairs.select(F.col("f.signature_id").alias("signature_id"), F.col("i.signature_id").alias("incident_id"), F.round(score, 4).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -45,8 +62,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str, vector: str, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine, itself left out. Queries are a stated set, sent to all rows in one block."""
-    q = F.broadcast(queries.select(F.col(vec_id).alias("query_id"), F.col(vector).alias("_q")))
-    pairs = vectors.join(q, F.col(vec_id) != F.col("query_id")).select("query_id", vec_id, F.round(cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+    """The k nearest vectors of each query by cosine, itself left out. Queries are a stated set, sent to all rows block by block.
+
+    The rank limit is applied before the shuffle: each task passes on at most k rows per query.
+    """
+    blocks = in_blocks(queries.select(F.col(vec_id).alias("query_id"), F.col(vector).alias("_q")), "query_id", BLOCK)
+    one = lambda q: vectors.join(q, F.col(vec_id) != F.col("query_id")).select("query_id", vec_id, F.round(cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+    pairs = reduce(DataFrame.unionByName, map(one, blocks))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), vec_id)
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from lakewright.functions.barrier import hold
 from lakewright.session import fresh_path, stage
 from lakewright.sources.envelopes import parsed, text_field, uuid_hex
 from lakewright.sources.tables import table
-from lakewright.vocab import CRASH_COLUMNS
+from lakewright.vocab import CRASH_COLUMNS, WHOLE_NUMBER_COLUMNS
 
 CORRECTS_DAYS, CUTOFF_DAYS = 2, 14
 POSITION = ("topic", "kafka_partition", "kafka_offset")
@@ -138,14 +138,43 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kafka_timestamp, top
 """
 
 
+_FIELD = '("(?:[^"]|"")*"|[^",]*)'
+
+
+def _value(column: str) -> str:
+    return f"trim(f[{CRASH_COLUMNS.index(column) + 1}])"
+
+
+def _bad_value(column: str) -> str:
+    """SQL condition that a field's text is no value of its column."""
+    v = _value(column)
+    if column in WHOLE_NUMBER_COLUMNS:
+        ok = f"regexp_full_match({v}, '[0-9]+')" + (f" AND TRY_CAST({v} AS HUGEINT) <= 23" if column == "crash_hour" else "")
+    elif column == "crash_date":
+        ok = f"regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST({v} AS DATE) IS NOT NULL"
+    else:
+        low, high = {"num_units": (0, 1e300), "latitude": (-90, 90), "longitude": (-180, 180)}[column]
+        ok = f"regexp_full_match({v}, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') AND TRY_CAST({v} AS DOUBLE) BETWEEN {low} AND {high}"
+    return f"{v} <> '' AND NOT COALESCE({ok}, false)"
+
+
+_TYPED = [c for c in CRASH_COLUMNS if c in (*WHOLE_NUMBER_COLUMNS, "num_units", "latitude", "longitude", "crash_date")]
+_PARKED = f"""
+WITH r AS (SELECT record_id, source_table, regexp_replace(raw_value, '(\\r\\n|\\n|\\r)$', '') AS raw FROM silver1_dead_letter),
+q AS (SELECT record_id, source_table, regexp_full_match(raw, '{_FIELD}(?:,{_FIELD})*') AS ok, list_transform(regexp_extract_all(raw || ',', '{_FIELD},', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM r),
+b AS (SELECT *, CASE WHEN ok AND len(f) = {len(CRASH_COLUMNS)} THEN CASE {" ".join(f"WHEN {_bad_value(c)} THEN '{c}'" for c in _TYPED)} END END AS bad_column FROM q),
+c AS (SELECT *, CASE WHEN NOT ok THEN 'BROKEN_QUOTING' WHEN len(f) <> {len(CRASH_COLUMNS)} THEN 'WRONG_COLUMN_COUNT' WHEN bad_column IS NOT NULL THEN 'INVALID_VALUE' END AS error_class FROM b)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _PARKED + "SELECT DISTINCT record_id, error_class FROM c WHERE error_class IS NOT NULL",
+        "p2_loaded": _PARKED + "SELECT DISTINCT record_id, source_table, " + ", ".join(f"nullif(trim(f[{i}]), '') AS {c}" for i, c in enumerate(CRASH_COLUMNS, 1)) + " FROM c WHERE error_class IS NULL AND ok",
+        "p2_reasons": _PARKED + "SELECT source_table, COALESCE(error_class, 'LOADED') AS outcome, COALESCE(bad_column, '') AS bad_column, count(*) AS records FROM c GROUP BY ALL",
         "p1_found": _P1_SQL + "SELECT record_id, outcome FROM o WHERE outcome <> 'on_time'",
         "p1_daily_counts": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, count(DISTINCT source) AS sources, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day",
         "p1_counter_state": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, source AS table_name, max(a // 86400000000) AS version, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day, source",
         "p4_found": _ARRIVALS + "SELECT topic, kafka_partition, kafka_offset FROM k WHERE n > 1",
         "p4_once": _ARRIVALS + "SELECT kafka_timestamp, topic, kafka_partition, kafka_offset, id, n = 1 AS keep FROM k",
     }
-
-
-__all__ = ["CRASH_COLUMNS", "oracle_sql", "queries"]
