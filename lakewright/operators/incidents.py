@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ THRESHOLD, TOP_K = 0.85, 3
 #: Queries that are sent to all workers at a time.
 BLOCK = 10_000
 
+#: Failures and incidents whose overlaps are in memory at a time.
+CHUNK = 2_000
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; 1 for two empty sets."""
@@ -33,20 +39,30 @@ def in_blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
 
 
 def similar(failures: DataFrame, incidents: DataFrame, *, k: int = TOP_K) -> DataFrame:
-    """The k most similar incidents of each failure with the score (4 decimals).
+    """The k most similar incidents of each failure, itself left out, with the score (4 decimals) and whether that reaches the threshold.
 
-    Both have signature_id, failure_type, column_name, table_name, layer, raw_value, one row per signature. The failures are a query set,
-    sent to the incidents block by block. Only incidents of the same column are scored: others lose the column's share and can't
-    reach the threshold. The value is compared once per pair of texts.
+    Both have signature_id, failure_type, column_name, table_name, layer, raw_value, one row per signature, and where there are
+    schema failures expected_only and source_only. Only incidents of the same column are scored: others lose the column's share and
+    can't reach the threshold. Values compare as texts, once per pair of texts, the failures sent to the incidents block by block;
+    schema failures compare by the mean Jaccard of expected_only and of source_only.
     """
-    scored = reduce(DataFrame.unionByName, (_scored(block, incidents) for block in in_blocks(failures, "signature_id", BLOCK)))
+    failures, incidents = _with_sets(failures), _with_sets(incidents)
+    schema = F.coalesce(family(F.col("failure_type")) == "SCHEMA", F.lit(False))
+    texts = [_scored(block, incidents) for block in in_blocks(failures.where(~schema), "signature_id", BLOCK)]
+    scored = reduce(DataFrame.unionByName, [*texts, _scored_sets(failures.where(schema), incidents, k)])
     best = Window.partitionBy("signature_id").orderBy(F.col("score").desc(), "incident_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("reaches", F.col("score") >= THRESHOLD)
+
+
+def _with_sets(rows: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    return rows.withColumns({c: none for c in ("expected_only", "source_only") if c not in rows.columns})
 
 
 def _scored(failures: DataFrame, incidents: DataFrame) -> DataFrame:
     f, i = failures.alias("f"), incidents.alias("i")
-    pairs = f.join(i, F.col("f.column_name").eqNullSafe(F.col("i.column_name")))
+    pairs = f.join(i, F.col("f.column_name").eqNullSafe(F.col("i.column_name")) & (F.col("f.signature_id") != F.col("i.signature_id")))
     kinds = canonical_type(F.col("f.failure_type")) == canonical_type(F.col("i.failure_type"))
     kin = (family(F.col("f.failure_type")) == family(F.col("i.failure_type"))) & (family(F.col("f.failure_type")) != "UNKNOWN")
     table = F.when(F.col("f.table_name") == F.col("i.table_name"), 1.0).when(F.col("f.layer") == F.col("i.layer"), 0.7).otherwise(0.0)
@@ -55,6 +71,56 @@ def _scored(failures: DataFrame, incidents: DataFrame) -> DataFrame:
     return pairs.select(F.col("f.signature_id").alias("signature_id"), F.col("i.signature_id").alias("incident_id"), F.round(score, 4).alias("score"))
 
 
+def _scored_sets(failures: DataFrame, incidents: DataFrame, k: int) -> DataFrame:
+    """Schema failures by their column sets. Every pair of a chunk of failures and a chunk of incidents is one table of overlaps,
+    of which only the k best of each failure are passed on."""
+    chunks = lambda df: max(1, -(-df.count() // CHUNK))
+    n, m = chunks(failures), chunks(incidents)
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    at = lambda size: F.pmod(F.xxhash64("signature_id"), F.lit(size)).cast("int")
+    form = ("signature_id", canonical_type(F.col("failure_type")).alias("kind"), family(F.col("failure_type")).alias("family"), "column_name", "table_name", "layer", "expected_only", "source_only")
+    f = failures.select(*form, at(n).alias("_f")).withColumn("_i", every(m)).groupBy("_f", "_i")
+    i = incidents.select(*form, at(m).alias("_i")).withColumn("_f", every(n)).groupBy("_f", "_i")
+    return f.cogroup(i).applyInPandas(_best_of_chunks(k), "signature_id string, incident_id string, score double")
+
+
+def _best_of_chunks(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def equal(a: pd.Series, b: pd.Series, nulls: bool = False) -> np.ndarray:
+        codes, _ = pd.factorize(pd.concat([a, b], ignore_index=True))
+        x, y = codes[: len(a), None], codes[None, len(a) :]
+        return (x == y) & (nulls | (x >= 0))
+
+    def jaccards(a: pd.Series, b: pd.Series) -> np.ndarray:
+        """Jaccard of every pair. An empty set counts as one of a sign of its own: equal to another empty set, apart from all others."""
+        sets = [set(() if x is None else x) or {""} for x in [*a, *b]]
+        place = {c: n for n, c in enumerate(sorted(set().union(*sets)))}
+        there = np.zeros((len(sets), len(place)), dtype=np.float32)
+        for row, names in enumerate(sets):
+            there[row, [place[c] for c in names]] = 1
+        x, y = there[: len(a)], there[len(a) :]
+        common = (x @ y.T).astype(np.float64)
+        return common / (x.sum(1)[:, None] + y.sum(1)[None, :] - common)
+
+    def best(f: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        if f.empty or i.empty:
+            return pd.DataFrame({"signature_id": [], "incident_id": [], "score": []}, dtype=object)
+        i = i.sort_values("signature_id", ignore_index=True)
+        kind = np.where(equal(f.kind, i.kind), 1.0, np.where(equal(f.family, i.family), 0.5, 0.0))
+        table = np.where(equal(f.table_name, i.table_name), 1.0, np.where(equal(f.layer, i.layer), 0.7, 0.0))
+        value = (jaccards(f.expected_only, i.expected_only) + jaccards(f.source_only, i.source_only)) / 2
+        score = WEIGHTS["failure_type"] * kind + WEIGHTS["column"] + WEIGHTS["table"] * table + WEIGHTS["value"] * value
+        score = np.floor(score * 10_000 + 0.5 + 1e-6).astype(np.int64)  # half up, as round() of a column
+        rank = np.where(equal(f.column_name, i.column_name, nulls=True) & ~equal(f.signature_id, i.signature_id), score * len(i) + np.arange(len(i))[::-1], -1)
+        top = np.argpartition(-rank, min(k, len(i)) - 1, axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(f)), top.shape[1])
+        keep = rank[rows, top.ravel()] >= 0
+        rows, top = rows[keep], top.ravel()[keep]
+        ids = lambda column, at: pd.Series(column.to_numpy(dtype=object)[at], dtype=object)
+        return pd.DataFrame({"signature_id": ids(f.signature_id, rows), "incident_id": ids(i.signature_id, top), "score": score[rows, top] / 10_000})
+
+    return best
+
+
 def cosine(a: Column, b: Column) -> Column:
     """(1 + cosine) / 2 of two vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

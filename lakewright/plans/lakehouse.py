@@ -207,12 +207,14 @@ def failure_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incident_matches(spark: SparkSession, d: str) -> DataFrame:
-    """For each distinct value failure the most similar ones reported for other sources."""
-    rows = table(spark, d, "structured_failures").where("failure_type = 'UNRESOLVED_VALUE' and raw_value is not null")
-    keys = rows.select("failure_type", "column_name", F.concat("detected_layer", F.lit("_"), F.lower("folder")).alias("table_name"), F.col("detected_layer").alias("layer"), F.upper(F.trim("raw_value")).alias("raw_value")).distinct()
-    keys = keys.withColumn("signature_id", F.sha2(F.concat_ws("|", "table_name", "column_name", "raw_value"), 256))
-    new, old = keys.where("table_name like '%crash4'"), keys.where("table_name not like '%crash4'")
-    return incidents.similar(new, old)
+    """For each distinct failure, of any source and type, the most similar of all others."""
+    rows = table(spark, d, "structured_failures")
+    sets = {c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))) for c in ("expected_only", "source_only")}
+    text = F.when(failures.family(F.col("failure_type")) == "SCHEMA", failures.signature_value()).otherwise(F.upper(F.trim(failures.signature_value())))
+    keys = rows.withColumns(sets).select("failure_type", "column_name", F.concat("detected_layer", F.lit("_"), F.lower("folder")).alias("table_name"), F.col("detected_layer").alias("layer"), text.alias("raw_value"), *sets)
+    identity = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("failure_type", "table_name", "column_name", "raw_value")))
+    keys = keys.withColumn("signature_id", F.sha2(identity, 256)).dropDuplicates(["signature_id"])
+    return incidents.similar(keys, keys)
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:

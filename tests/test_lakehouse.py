@@ -189,6 +189,42 @@ def test_similar_incidents(spark):
     assert [(r.incident_id, r.score) for r in incidents.similar(new, old).orderBy("rank").collect()] == [("o1", 1.0), ("o2", round(0.125 + 0.25 + 0.105 + 0.35 * 2 / 3, 4))]
 
 
+def test_similar_schema_failures(spark, monkeypatch):
+    schema = "signature_id string, failure_type string, column_name string, table_name string, layer string, raw_value string, expected_only array<string>, source_only array<string>"
+    r, names = random.Random(3), "abcde"
+    pick = lambda: r.choice([None, *([r.sample(names, n) for n in range(4)])])
+    rows = [(f"s{k:02}", r.choice(["SCHEMA_MISMATCH", "SCHEMA_DRIFT", "MISSING_COLUMN"]), None, f"t{k % 3}", "silver1" if k % 3 else "bronze", None, pick(), pick()) for k in range(40)]
+    rows += [("v1", "UNRESOLVED_VALUE", "c", "t1", "silver2", "JAN", None, None), ("v2", "UNRESOLVED_VALUE", "c", "t1", "silver2", "JAN.", None, None)]
+    jaccard = lambda a, b: len(set(a or ()) & set(b or ())) / len(set(a or ()) | set(b or ())) if a or b else 1.0
+    kind = lambda t: "SCHEMA_DRIFT" if t == "SCHEMA_MISMATCH" else t
+
+    def score(f, i):
+        value = (jaccard(f[6], i[6]) + jaccard(f[7], i[7])) / 2
+        return 0.25 * (1 if kind(f[1]) == kind(i[1]) else 0.5) + 0.25 + 0.15 * (1 if f[3] == i[3] else 0.7 if f[4] == i[4] else 0) + 0.35 * value
+
+    monkeypatch.setattr(incidents, "CHUNK", 9)
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for x in incidents.similar(df, df).orderBy("signature_id", "rank").collect():
+        got.setdefault(x.signature_id, []).append((x.incident_id, x.score))
+        assert x.reaches == (x.score >= 0.85)
+    for f in rows[:40]:
+        best = sorted((-int(score(f, i) * 10_000 + 0.5 + 1e-6), i[0]) for i in rows[:40] if i[0] != f[0])[:3]
+        assert got[f[0]] == [(i, -s / 10_000) for s, i in best]
+    assert got["v1"] == [("v2", 1.0)] and set(got) == {x[0] for x in rows}
+    assert incidents.similar(df.limit(0), df).count() == incidents.similar(df, df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_all_failures_are_matched(spark):
+    reports = spark.read.parquet(f"{DATA}/structured_failures.parquet")
+    rows = failures.with_signature(reports).select("folder", "failure_type", "column_name", "signature_key").distinct().collect()
+    rows = [r for r in rows if sum(r.column_name == x.column_name for x in rows) > 1]  # the others have nothing to be like
+    assert {r.folder for r in rows if r.failure_type == "SCHEMA_MISMATCH"} == {"Crash1", "Crash2", "Crash3", "Crash4"}
+    got = __spark_entry__.queries()["incident_matches"](spark, DATA)
+    assert got.select("signature_id").distinct().count() == len(rows)
+
+
 def test_spread(spark):
     r = random.Random(1)
     rows = [(g, float(r.randrange(20))) for g in "ab" for _ in range(r.randrange(1, 40))] + [("c", None)]
