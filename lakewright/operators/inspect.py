@@ -62,6 +62,29 @@ def differences(before: DataFrame, after: DataFrame, key: str, columns: Sequence
     return joined.select(F.col(f"b.{key}").alias(key), F.inline(pairs)).where("not (before <=> after)")
 
 
+def first_arrivals(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per key, the least in ``order``; rows without key are left out."""
+    rest = [c for c in df.columns if c != key and c not in order]
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_r"))
+    return least.select(*(F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns))
+
+
+def layer_changes(layers: dict[str, DataFrame], key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, column_name, value in each layer): columns of a record with more than one value over the layers.
+
+    Values compare as trimmed text; blank ones and columns that a layer lacks don't count as values. Keys should be unique in each layer.
+    """
+    text = lambda df, c: F.trim(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")
+    parts = [df.where(F.col(key).isNotNull()).select(key, F.lit(name).alias("_layer"), F.struct(*(text(df, c).alias(c) for c in columns)).alias("_v")) for name, df in layers.items()]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    rows = union.groupBy(key).agg(*(F.min(F.when(F.col("_layer") == name, F.col("_v"))).alias(name) for name in layers))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{name}.{c}").alias(name) for name in layers)) for c in columns))
+    values = F.array(*(F.nullif(F.col(name), F.lit("")) for name in layers))
+    return rows.select(key, F.inline(pairs)).where(F.size(F.array_distinct(F.array_compact(values))) > 1)
+
+
 def rate(part: Column, whole: Column) -> Column:
     """Share with four decimals; NULL of nothing."""
     return F.round(F.try_divide(part, whole), 4)

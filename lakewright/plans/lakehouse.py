@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.distance import damerau_column
-from lakewright.operators import clean, contract, failures, faults, gold, incidents, inspect, lineage, replay, standardize
+from lakewright.operators import clean, contract, drift, failures, faults, gold, incidents, inspect, lineage, replay, standardize
+from lakewright.session import stage
 from lakewright.sources.tables import table
 from lakewright.vocab import CRASH_COLUMNS
 
@@ -237,6 +238,18 @@ def layer_differences(spark: SparkSession, d: str) -> DataFrame:
     return inspect.differences(pick(F.min), pick(F.max), "record_id", ["ingestion_ts", "crash_hour", "weather_condition", "damage"])
 
 
+def layer_changes(spark: SparkSession, d: str) -> DataFrame:
+    """All crash columns of each record over the layers, from unified messages to business rows, where they differ."""
+    bronze, order = table(spark, d, "bronze_crashes"), ("ingestion_ts", "batch_id")
+    heads = stage(drift.headers(bronze), "drift-headers")
+    names = drift.dictionary(heads.select(F.explode("header.key").alias("key")), drift.learn_synonyms(bronze, heads))
+    first = lambda df: inspect.first_arrivals(df.select("record_id", *order, *CRASH_COLUMNS), "record_id", order)
+    rows = stage(first(table(spark, d, "silver2_crashes")), "layer-standardized")  # the business rows are made from the same arrivals
+    business = gold.typed(rows.withColumn("source_table", F.lit(None).cast("string")))
+    layers = {"bronze": first(drift.unified(bronze, names)), "silver1": first(table(spark, d, "silver1_crashes")), "silver2": rows, "gold": business}
+    return inspect.layer_changes(layers, "record_id", CRASH_COLUMNS)
+
+
 def mentioned_ids(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "bronze_crashes").where("try_parse_json(raw_value) is null")
     return inspect.mentions(texts, "raw_value", table(spark, d, "silver1_crashes"), "record_id")
@@ -579,7 +592,7 @@ NAMES = (
     clean_projection, union_sources_tagged, contract_guard, contract_signatures, dead_letter_groups, mapping_latest, map_lookup_exact, parse_dates, parse_numbers, parse_hours,
     edit_distance, fuzzy_canonical, fuzzy_audit, standardize_route_counts, columns_to_remediate, quarantine_failures, gold_projection, dedup_business_key, metric_daily,
     metric_conditions, metric_time_pattern, metric_causes, metric_areas, failures_once, failures_merged, column_set_jaccard, lineage_closure, failure_impact, failure_ranking,
-    incident_matches, vector_topk, record_trace, layer_differences, mentioned_ids, layer_overview, waiting_counts, never_standardized, parked_and_clean, hash_sample, id_lookup,
+    incident_matches, vector_topk, record_trace, layer_differences, layer_changes, mentioned_ids, layer_overview, waiting_counts, never_standardized, parked_and_clean, hash_sample, id_lookup,
     next_record, event_spread, failure_rates, outcome_pivot, json_props, scalar_functions, replay_renamed, replay_conservation, fault_outcomes, canonical_values, batch_runs,
     promotion_candidates, id_set_operations, stream_to_layers,
 )

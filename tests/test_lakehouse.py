@@ -225,6 +225,20 @@ def test_all_failures_are_matched(spark):
     assert got.select("signature_id").distinct().count() == len(rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_all_columns_of_all_layers_are_compared(spark, tmp_path):
+    for name in ("bronze_crashes", "silver1_crashes", "silver2_crashes"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    base = dict.fromkeys(CRASH_COLUMNS, "x") | {"crash_hour": "07.00", "num_units": "2", "injuries_total": "1", "posted_speed_limit": "30", "hit_and_run_i": "true", "crash_date": "2021-01-01", "latitude": None, "longitude": None, "damage": None}
+    add = lambda name, **row: spark.range(1).select(*(F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in spark.read.parquet(f"{DATA}/{name}.parquet").schema)).write.mode("append").parquet(str(tmp_path / f"{name}.parquet"))
+    add("bronze_crashes", raw_value=message(**base | {"lane_cnt": "3", "alignment": " x ", "crash_hour": None, "hour_of_crash": "07.00"}))
+    add("silver1_crashes", **base | {"record_id": "r", "batch_id": 1, "ingestion_ts": "t", "lane_cnt": "4", "report_type": ""})
+    add("silver2_crashes", **base | {"record_id": "s", "batch_id": 1, "ingestion_ts": "t", "crash_hour": "07.00"})
+    out = __spark_entry__.queries()["layer_changes"](spark, str(tmp_path)).collect()
+    got = {(x.record_id, x.column_name): (x.bronze, x.silver1, x.silver2, x.gold) for x in out}
+    assert got == {("r", "lane_cnt"): ("3", "4", None, None), ("s", "crash_hour"): (None, None, "07.00", "7"), ("s", "num_units"): (None, None, "2.0", "2")}
+
+
 def test_spread(spark):
     r = random.Random(1)
     rows = [(g, float(r.randrange(20))) for g in "ab" for _ in range(r.randrange(1, 40))] + [("c", None)]
