@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,11 +98,11 @@ def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
     ref = table(spark, d, "ref_canonical_mappings")
     of, known = standardize.anchors(ref), standardize.mapping_dict(ref)
     parts = []
-    for field in ("weather_condition", "crash_month"):
+    for field in standardize.FUZZY:
         values = table(spark, d, "silver1_crashes").select(F.upper(F.trim(field)).alias("value")).where("value is not null").distinct()
         values = values.where(standardize.exact(field, F.col("value"), known).isNull())
         parts.append(values.select(F.lit(field).alias("field_name"), "value", standardize.fuzzy_column(field, F.col("value"), of.get(field, [])).alias("m")))
-    return parts[0].unionByName(parts[1]).select("field_name", "value", "m.canonical", "m.distance")
+    return reduce(DataFrame.unionByName, parts).select("field_name", "value", "m.canonical", "m.distance")
 
 
 def _standardized(spark: SparkSession, d: str) -> DataFrame:
@@ -371,6 +373,16 @@ def promotion_candidates(spark: SparkSession, d: str) -> DataFrame:
     return counted.join(fixes, "value").join(known, "value", "left_anti").select("value", "canonical", "records", "batches")
 
 
+def promotion_by_field(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelt values of every fuzzy field that the guarded match resolves in at least 5 records of at least 3 batches."""
+    fixes = _fuzzy(spark, d).where("canonical is not null")
+    pairs = F.array(*(F.struct(F.lit(c).alias("field_name"), F.upper(F.trim(c)).alias("value")) for c in standardize.FUZZY))
+    seen = table(spark, d, "silver1_crashes").select(F.concat_ws(":", "table_name", "batch_id").alias("batch"), F.inline(pairs)).where("value is not null")
+    counted = seen.groupBy("field_name", "value").agg(F.count("*").alias("records"), F.count_distinct("batch").alias("batches")).where("records >= 5 and batches >= 3")
+    known = table(spark, d, "ref_canonical_mappings").select("field_name", F.upper(F.trim("raw_synonym")).alias("value"))
+    return counted.join(fixes, ["field_name", "value"]).join(known, ["field_name", "value"], "left_anti").select("field_name", "value", "canonical", "records", "batches")
+
+
 def id_set_operations(spark: SparkSession, d: str) -> DataFrame:
     """Ids by the tables they occur in: intersection and differences as set operations."""
     a, b = table(spark, d, "silver1_crashes").select("record_id"), table(spark, d, "silver2_crashes").select("record_id")
@@ -536,6 +548,8 @@ ORACLE = {
     "canonical_values": "SELECT field_name, CAST(count(DISTINCT canonical_value) AS INT) AS n, array_to_string(list_sort(list(DISTINCT canonical_value)), '|') AS canonical_values FROM ref_canonical_mappings GROUP BY 1",
     "batch_runs": "SELECT table_name, batch_id, count(*) AS records, min(kafka_timestamp) AS first_at, max(kafka_timestamp) AS last_at, CAST(sum(CASE WHEN crash_date IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_date FROM silver1_crashes GROUP BY 1, 2",
     "promotion_candidates": _FUZZY + ", p AS (SELECT upper(trim(crash_month)) AS value, count(*) AS records, count(DISTINCT table_name || ':' || batch_id) AS batches FROM silver1_crashes GROUP BY 1) SELECT value, canonical, records, batches FROM p JOIN r USING (value) WHERE r.field_name = 'crash_month' AND canonical IS NOT NULL AND records >= 5 AND batches >= 3",
+    "promotion_by_field": _FUZZY + ", p AS (SELECT field_name, value, count(*) AS records, count(DISTINCT batch) AS batches FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field_name, upper(trim({c})) AS value, table_name || ':' || batch_id AS batch FROM silver1_crashes" for c in standardize.FUZZY)
+    + ") GROUP BY 1, 2) SELECT field_name, value, canonical, records, batches FROM p JOIN r USING (field_name, value) WHERE canonical IS NOT NULL AND records >= 5 AND batches >= 3",
     "id_set_operations": "WITH a AS (SELECT DISTINCT record_id FROM silver1_crashes), b AS (SELECT DISTINCT record_id FROM silver2_crashes) SELECT 'both' AS which, count(*) AS ids FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second_only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "stream_to_layers": _GUARD + "SELECT b.topic, CASE WHEN g.topic IS NULL THEN 'clean' ELSE 'parked' END AS layer, count(*) AS records FROM bronze_crashes b LEFT JOIN g USING (topic, kafka_partition, kafka_offset) GROUP BY 1, 2",
     "clean_projection": f"WITH e AS (SELECT topic, kafka_partition, kafka_offset, CASE WHEN json_type(raw_value, '$.payload') IS NULL THEN raw_value ELSE json_extract(raw_value, '$.payload') END AS p FROM bronze_crashes WHERE {_TOP}) SELECT topic, kafka_partition, kafka_offset, "
@@ -594,7 +608,7 @@ NAMES = (
     metric_conditions, metric_time_pattern, metric_causes, metric_areas, failures_once, failures_merged, column_set_jaccard, lineage_closure, failure_impact, failure_ranking,
     incident_matches, vector_topk, record_trace, layer_differences, layer_changes, mentioned_ids, layer_overview, waiting_counts, never_standardized, parked_and_clean, hash_sample, id_lookup,
     next_record, event_spread, failure_rates, outcome_pivot, json_props, scalar_functions, replay_renamed, replay_conservation, fault_outcomes, canonical_values, batch_runs,
-    promotion_candidates, id_set_operations, stream_to_layers,
+    promotion_candidates, promotion_by_field, id_set_operations, stream_to_layers,
 )
 
 

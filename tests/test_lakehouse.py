@@ -239,6 +239,16 @@ def test_all_columns_of_all_layers_are_compared(spark, tmp_path):
     assert got == {("r", "lane_cnt"): ("3", "4", None, None), ("s", "crash_hour"): (None, None, "07.00", "7"), ("s", "num_units"): (None, None, "2.0", "2")}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_misspellings_of_every_field_are_promoted(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/ref_canonical_mappings.parquet").write.parquet(str(tmp_path / "ref_canonical_mappings.parquet"))
+    values = {"weather_condition": "CLEARR", "lighting_condition": "DAYLIGHTT", "street_direction": None, "crash_month": "SEPTEMBERR", "crash_day_of_week": "THURSDAYY"}
+    rows = [("A", k % 3, *values.values()) for k in range(5)] + [("A", 9, None, None, None, "OCTOBERR", None)] * 5
+    spark.createDataFrame(rows, "table_name string, batch_id int, " + ", ".join(f"{c} string" for c in values)).write.parquet(str(tmp_path / "silver1_crashes.parquet"))
+    got = {(r.field_name, r.value, r.canonical, r.records, r.batches) for r in __spark_entry__.queries()["promotion_by_field"](spark, str(tmp_path)).collect()}
+    assert got == {("weather_condition", "CLEARR", "CLEAR", 5, 3), ("lighting_condition", "DAYLIGHTT", "DAYLIGHT", 5, 3), ("crash_month", "SEPTEMBERR", "SEPTEMBER", 5, 3), ("crash_day_of_week", "THURSDAYY", "THURSDAY", 5, 3)}
+
+
 def test_spread(spark):
     r = random.Random(1)
     rows = [(g, float(r.randrange(20))) for g in "ab" for _ in range(r.randrange(1, 40))] + [("c", None)]
