@@ -248,7 +248,7 @@ def _quoted(text: str) -> str:
 def column_types(df: DataFrame, names: DataFrame | None = None, raw: str = "raw_value") -> DataFrame:
     """(table_name, column, kinds, promoted): the types of each column over a source's files, folded through the lattice."""
     heads = stage(headers(df, raw), "drift-headers")
-    names = names if names is not None else dictionary(heads.select(F.explode("header.key").alias("key")))
+    names = names if names is not None else dictionary(heads.select(F.explode("header.key").alias("key")), learn_synonyms(df, heads, raw))
     long = heads.select("table_name", F.explode("header").alias("f")).select("table_name", "f.key", "f.kind").distinct()
     folded = long.join(F.broadcast(names), "key").where("column is not null").groupBy("table_name", "column").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     return folded.select("table_name", F.col("column").alias("field_name"), "kinds", promoted(F.col("kinds")).alias("promoted"))

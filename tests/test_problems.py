@@ -292,3 +292,10 @@ def test_lattice():
 def test_drift_of_nothing(spark):
     found, _ = drift.changes(spark.createDataFrame([], "raw_value string"))
     assert found.count() == 0
+
+
+def test_types_of_keys_known_by_evidence(spark):
+    rest = {c: "x" for c in CRASH_COLUMNS if c != "lane_cnt"}
+    text = lambda batch, **more: json.dumps({"record_id": "r", "batch_id": batch, "table_name": "A", "payload": rest | more})
+    df = spark.createDataFrame([(text(b, lane_cnt="12"),) for b in (1, 2, 3)] + [(text(b, zqx=12),) for b in (4, 5, 6)], "raw_value string")
+    assert {r.field_name: r.kinds for r in drift.column_types(df).collect()}["lane_cnt"] == ["number", "string"]
