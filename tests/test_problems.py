@@ -299,3 +299,10 @@ def test_types_of_keys_known_by_evidence(spark):
     text = lambda batch, **more: json.dumps({"record_id": "r", "batch_id": batch, "table_name": "A", "payload": rest | more})
     df = spark.createDataFrame([(text(b, lane_cnt="12"),) for b in (1, 2, 3)] + [(text(b, zqx=12),) for b in (4, 5, 6)], "raw_value string")
     assert {r.field_name: r.kinds for r in drift.column_types(df).collect()}["lane_cnt"] == ["number", "string"]
+
+
+def test_envelopes_with_white_space_around(spark):
+    from lakewright.sources.envelopes import parsed
+
+    rows = ['{"a": 1}' + end for end in ("", " ", "\n", "\r\n", "\t \n", "x", "\n{}")] + ['\n{"a": 1}\n', "\n", None]
+    assert parsed(spark.createDataFrame([(r,) for r in rows], "raw string"), "raw").count() == 6
