@@ -83,6 +83,24 @@ def p4_once(spark: SparkSession, d: str) -> DataFrame:
     return once.keep_once(stage(deliveries(spark, d), "p4-deliveries"), state, identifier="id", position=POSITION, order=ORDER)
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """As p4_once, but in four batches by time through one state: one is delivered twice, and two overlap in time.
+
+    The third batch is selected before the second commits, so that its commit meets a newer state and is made anew.
+    """
+    state = once.SeenState(spark, fresh_path(spark, "p4-batches"))
+    arrivals = stage(deliveries(spark, d), "p4-deliveries")
+    micros = F.unix_micros("kafka_timestamp")
+    cuts = arrivals.select(F.percentile_approx(micros, [0.25, 0.5, 0.75], 1000).alias("c")).first().c or [0, 0, 0]
+    number = sum((F.when(micros > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    batch = lambda k: once.Batch(arrivals.where(number == k), state, identifier="id", position=POSITION, order=ORDER, batch=f"part-{k}")
+    first = batch(0).prepare().commit()
+    third = batch(2).prepare()
+    second = batch(1).prepare().commit()
+    batch(1).prepare().commit()  # delivered again: nothing changes
+    return first.unionByName(second).unionByName(third.commit()).unionByName(batch(3).prepare().commit())
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The deliveries to drop."""
     return p4_once(spark, d).where("not keep").select(*POSITION)
@@ -124,7 +142,7 @@ def p6_types(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_daily_counts": p1_daily_counts, "p1_counter_state": p1_counter_state, "p2_found": p2_found, "p2_loaded": p2_loaded,
-        "p2_reasons": p2_reasons, "p4_found": p4_found, "p4_once": p4_once, "p5_found": p5_found, "p5_normalised": p5_normalised,
+        "p2_reasons": p2_reasons, "p4_found": p4_found, "p4_once": p4_once, "p4_batches": p4_batches, "p5_found": p5_found, "p5_normalised": p5_normalised,
         "p6_found": p6_found, "p6_unified": p6_unified, "p6_types": p6_types,
     }
 
@@ -176,5 +194,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_daily_counts": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, count(DISTINCT source) AS sources, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day",
         "p1_counter_state": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, source AS table_name, max(a // 86400000000) AS version, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day, source",
         "p4_found": _ARRIVALS + "SELECT topic, kafka_partition, kafka_offset FROM k WHERE n > 1",
+        "p4_batches": _ARRIVALS + "SELECT kafka_timestamp, topic, kafka_partition, kafka_offset, id, n = 1 AS keep FROM k",
         "p4_once": _ARRIVALS + "SELECT kafka_timestamp, topic, kafka_partition, kafka_offset, id, n = 1 AS keep FROM k",
     }

@@ -188,6 +188,39 @@ def test_once_over_batches(spark):
     assert len({(c.shard, c.code) for c in codes}) == len(codes) == len(seen)
 
 
+def test_once_with_overlapping_writers(spark):
+    state = once.SeenState(spark, fresh_path(spark, "test-overlap"), shards=2)
+    batch = lambda name, ids: once.Batch(spark.createDataFrame([(x, name, 0, k, k, "") for k, x in enumerate(ids)], ARRIVAL), state, identifier="id", position=POSITION, order=ORDER, batch=name)
+    slow = batch("a", ["x", "y"]).prepare()
+    quick = batch("a-b", ["x", "z"]).prepare().commit()
+    kept = lambda df: sorted(r.id for r in df.where("keep").collect())
+    assert kept(quick) == ["x", "z"]
+    assert kept(slow.commit()) == ["y"]  # x was committed in between
+    codes = state.read("dictionary").collect()
+    assert len(codes) == 3 == len({(c.shard, c.code) for c in codes})
+    assert kept(batch("a-b", ["x", "z"]).prepare().commit()) == ["x", "z"] and kept(batch("a", ["x", "y"]).prepare().commit()) == ["y"]
+    assert kept(batch("c", ["x", "y", "z", "w"]).prepare().commit()) == ["w"]
+
+
+def test_once_with_concurrent_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    state = once.SeenState(spark, fresh_path(spark, "test-threads"), shards=3)
+    frames = [spark.createDataFrame([(f"i{(k * 7 + b) % 40}", str(b), 0, k, k, "") for k in range(30)], ARRIVAL) for b in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda b: [r.id for r in once.keep_once(frames[b], state, identifier="id", position=POSITION, order=ORDER, batch=str(b)).where("keep").collect()], range(4)))
+    kept = [x for ids in done for x in ids]
+    assert len(kept) == len(set(kept)) == len({r.id for f in frames for r in f.collect()})
+
+
+def test_once_folds_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(once, "DICTIONARY_PARTS", 2)
+    state = once.SeenState(spark, fresh_path(spark, "test-fold"), shards=1)
+    for b in range(5):
+        once.keep_once(spark.createDataFrame([(f"i{b}", "t", 0, b, b, ""), ("i0", "t", 0, 100 + b, b, "")], ARRIVAL), state, identifier="id", position=POSITION, order=ORDER)
+    assert len(state.snapshot()[1]["dictionary"]["0"]) <= 2 and sorted(r.code for r in state.read("dictionary").collect()) == list(range(5))
+
+
 def test_uuid_notations(spark):
     from pyspark.sql import functions as F
 
