@@ -52,11 +52,11 @@ o AS (SELECT *, CASE WHEN date_diff('day', day, h) > 14 THEN 'too_late' WHEN dat
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Parked records that can't be loaded, with the reason."""
-    return _parked(spark, d).where("error_class is not null").select("record_id", "error_class").distinct()
+    return _parked(spark, d, fields=False).where("error_class is not null").select("record_id", "error_class").distinct()
 
 
-def _parked(spark: SparkSession, d: str) -> DataFrame:
-    return bad_rows.classify(table(spark, d, "silver1_dead_letter").select("record_id", "source_table", "raw_value"))
+def _parked(spark: SparkSession, d: str, *, fields: bool = True) -> DataFrame:
+    return bad_rows.classify(table(spark, d, "silver1_dead_letter").select("record_id", "source_table", "raw_value"), fields=fields)
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
@@ -64,10 +64,15 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return bad_rows.loaded(_parked(spark, d), ("record_id", "source_table")).distinct()
 
 
+def p2_typed(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the typed columns of the good parked records."""
+    return bad_rows.typed(_parked(spark, d), ("record_id", "source_table")).distinct()
+
+
 def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Number of parked records by source and outcome."""
     reason = F.coalesce("error_class", F.lit("LOADED")).alias("outcome")
-    return _parked(spark, d).groupBy("source_table", reason, F.coalesce("bad_column", F.lit("")).alias("bad_column")).agg(F.count("*").alias("records"))
+    return _parked(spark, d, fields=False).groupBy("source_table", reason, F.coalesce("bad_column", F.lit("")).alias("bad_column")).agg(F.count("*").alias("records"))
 
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +146,7 @@ def p6_types(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_daily_counts": p1_daily_counts, "p1_counter_state": p1_counter_state, "p2_found": p2_found, "p2_loaded": p2_loaded,
+        "p1_found": p1_found, "p1_daily_counts": p1_daily_counts, "p1_counter_state": p1_counter_state, "p2_found": p2_found, "p2_loaded": p2_loaded, "p2_typed": p2_typed,
         "p2_reasons": p2_reasons, "p4_found": p4_found, "p4_once": p4_once, "p4_batches": p4_batches, "p5_found": p5_found, "p5_normalised": p5_normalised,
         "p6_found": p6_found, "p6_unified": p6_unified, "p6_types": p6_types,
     }
@@ -189,6 +194,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _PARKED + "SELECT DISTINCT record_id, error_class FROM c WHERE error_class IS NOT NULL",
         "p2_loaded": _PARKED + "SELECT DISTINCT record_id, source_table, " + ", ".join(f"nullif(trim(f[{i}]), '') AS {c}" for i, c in enumerate(CRASH_COLUMNS, 1)) + " FROM c WHERE error_class IS NULL AND ok",
+        "p2_typed": _PARKED + "SELECT DISTINCT record_id, source_table, " + ", ".join(f"TRY_CAST({_value(c)} AS {bad_rows.TYPES[c][0]}) AS {c}" for c in _TYPED) + " FROM c WHERE error_class IS NULL AND ok",
         "p2_reasons": _PARKED + "SELECT source_table, COALESCE(error_class, 'LOADED') AS outcome, COALESCE(bad_column, '') AS bad_column, count(*) AS records FROM c GROUP BY ALL",
         "p1_found": _P1_SQL + "SELECT record_id, outcome FROM o WHERE outcome <> 'on_time'",
         "p1_daily_counts": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, count(DISTINCT source) AS sources, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day",

@@ -156,9 +156,26 @@ def test_bad_rows(spark):
     ("latitude", "90", True), ("latitude", "90.1", False), ("longitude", "-180.0", True), ("num_units", "-1", False), ("num_units", "1e3", False), ("crash_date", "2021-02-29", False), ("crash_date", "2020-2-29", False),
 ])
 def test_values(spark, column, text, ok):
-    fields = ["" if c != column else text for c in CRASH_COLUMNS]
-    row = spark.createDataFrame([(fields,)], "fields array<string>").select(bad_rows.value_error().alias("bad")).first()
-    assert (row.bad is None) == ok
+    reader = bad_rows.CsvReader()
+    done = reader.read([",".join("" if c != column else text for c in CRASH_COLUMNS)]).to_pylist()[0]
+    assert (done["error_class"], done["bad_column"]) == ((None, None) if ok else (bad_rows.VALUE, column))
+
+
+def test_reject_tables_decide():
+    """Against the grammar, on random texts with quotes, commas, blanks and line breaks, in files of many records."""
+    r = random.Random(8)
+    texts = ["".join(r.choice(['"', '"', ",", ",", "a", " ", "\n", "\r", "7", "\0", "é"]) for _ in range(r.randrange(12))) for _ in range(6000)]
+    got = bad_rows.CsvReader(("a", "b", "c")).read(texts).to_pylist()
+    for text, row in zip(texts, got, strict=True):
+        want = grammar(text)
+        kind = bad_rows.BROKEN if want is None else bad_rows.COUNT if len(want) != 3 else None
+        assert (row["error_class"], row["fields"]) == (kind, want if kind is None else None), text
+
+
+def test_long_whole_numbers_and_typed_values():
+    fields = {c: "" for c in CRASH_COLUMNS} | {"street_no": "9" * 60, "crash_hour": "007", "latitude": " 41.5 ", "crash_date": "2020-02-29"}
+    row = bad_rows.CsvReader().read([",".join(fields.values())]).to_pylist()[0]
+    assert row["error_class"] is None and row["typed"]["crash_hour"] == 7 and row["typed"]["latitude"] == 41.5 and row["typed"]["crash_date"] == date(2020, 2, 29) and row["typed"]["street_no"] is None
 
 
 ARRIVAL = "id string, topic string, kafka_partition int, kafka_offset long, kafka_timestamp long, keep string"
