@@ -52,18 +52,53 @@ def test_late_events(spark):
     assert set(found.values()) == {"on_time", "corrects", "too_late"}
 
 
-def test_counters_are_idempotent_and_order_free(spark):
-    rows = late_rows()
-    outcomes = late_events.classify(spark.createDataFrame(rows, SCHEMA), **LATE)
-    state = late_events.counters(outcomes)
-    key = lambda df: sorted(map(tuple, df.select("day", "source", "version", "n").collect()))
-    merged = late_events.merge(state)
-    old = late_events.merge(state.where("version < 18270"))
-    assert key(late_events.merge(merged, old, merged)) == key(late_events.merge(old, merged)) == key(merged)
-    total = {}
-    for rid, (outcome) in late_expected(rows).items():
-        total[outcome] = total.get(outcome, 0) + 1
-    assert sum(r.n for r in late_events.period_totals(state).collect()) == total["on_time"] + total["corrects"]
+def in_state(spark, name):
+    return late_events.LateState(spark, fresh_path(spark, name), shards=2)
+
+
+def counts(state):
+    return sorted((r.source, r.day, r.n) for r in state.counters().where("n > 0").collect())
+
+
+def expected_counts(rows):
+    entry, first, total = late_expected(rows), {}, {}
+    for rid, src, day, at, *_ in rows:
+        if rid in entry and src:
+            first[rid] = min(first.get(rid, (at, day, src)), (at, day, src))
+    for rid, (_, day, src) in first.items():
+        if entry[rid] != "too_late":
+            key = (src, (date.fromisoformat(day) - date(1970, 1, 1)).days)
+            total[key] = total.get(key, 0) + 1
+    return sorted((*k, n) for k, n in total.items())
+
+
+def test_batches_in_any_order_give_the_counts_of_one_run(spark):
+    """Three separately computed batches, retried and out of order; records re-sent in others, some under another day or earlier."""
+    rows = [r for r in late_rows() if r[0] and r[1] and r[2] and "junk" not in r[:4]]
+    rows += [(rows[5][0], rows[5][1], "2020-01-20", "2020-02-20T00:00:00+00:00", 1, ""), (rows[9][0], rows[9][1], "2019-12-25", "2019-12-30T00:00:00+00:00", 1, ""), ("ahead", "A", "2020-03-30", "2020-01-01T00:00:01+00:00", 1, ""), ("ahead", "A", "2020-01-01", "2020-01-01T00:00:00+00:00", 1, "")]
+    batches = [rows[:120] + [rows[-1]], rows[120:250] + [rows[3]], rows[250:-1] + rows[100:110]]
+    frames = [spark.createDataFrame(b, SCHEMA) for b in batches]
+    want = expected_counts(rows)
+    for order in ((0, 1, 2, 0), (2, 0, 2, 1)):
+        state = in_state(spark, "test-late")
+        assert [state.apply(frames[k], f"b{k}", **LATE) for k in order].count(False) == 1
+        assert counts(state) == want
+    assert {r.record_id: r.outcome for r in state.outcomes().collect()} == late_expected(rows)
+    other = in_state(spark, "test-late-other")
+    other.apply(frames[1], "b1", **LATE)
+    both = in_state(spark, "test-late-both")
+    both.apply(frames[0].unionByName(frames[2]), "b02", **LATE)
+    assert both.absorb(other.arrivals(), "other") and not both.absorb(other.arrivals(), "other")
+    assert counts(both) == want
+
+
+def test_counters_merge_by_version(spark):
+    outcomes = late_events.classify(spark.createDataFrame(late_rows(), SCHEMA), **LATE)
+    old, new = late_events.counted(outcomes.limit(40), 1), late_events.counted(outcomes, 2)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(late_events.merge(old, new, new)) == key(late_events.merge(new, old)) == key(late_events.merge(new))
+    total = list(late_expected(late_rows()).values())
+    assert sum(r.n for r in late_events.period_totals(new).collect()) == total.count("on_time") + total.count("corrects")
 
 
 def test_late_events_of_nothing(spark):
