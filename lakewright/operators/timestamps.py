@@ -6,8 +6,8 @@ arithmetic, zone offsets, text of the result) is done on whole columns. There is
 small table whose size is checked.
 
 Rules: numeric dates that begin with day or month follow the source's order strictly; a four-digit beginning is year, month,
-day; two-digit years are 20xx; nine to nineteen bare digits count from 1970 in seconds, milli-, micro- or nanoseconds by their
-number. Without a zone the source's clock holds; a local time that occurs twice means the earlier instant. Text that names no
+day; two-digit years are 20xx; fourteen bare digits that read as year (1900 to 2199), month, day and clock are that; other nine to nineteen bare
+digits count from 1970 in seconds, milli-, micro- or nanoseconds by their number. Without a zone the source's clock holds; a local time that occurs twice means the earlier instant. Text that names no
 existing day or time, or a local time that the clock skips, is UNRESOLVED, and so is a zone-less time of a source without
 profile. NULL stays NULL; blank text is UNRESOLVED.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
-from functools import cache
+from functools import cache, lru_cache
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -29,8 +29,8 @@ UNRESOLVED = "UNRESOLVED"
 
 #: Profiles (one row per source) that the driver reads at most; a longer table is refused.
 MAX_PROFILES = 10_000
-#: Years for which zone transitions are tabulated; other years take the nearest tabulated offset.
-FIRST_YEAR, LAST_YEAR = 1970, 2099
+#: Years a date can have.
+FIRST_YEAR, LAST_YEAR = 1, 9999
 
 # Month and weekday names.
 MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
@@ -50,6 +50,7 @@ NOTATIONS = (
     rf"<y:\d{{4}}>\.<m:\d{{1,2}}>\.<d:\d{{1,2}}>{_CLOCK}",
     rf"<y:\d{{4}}><m:\d{{2}}><d:\d{{2}}>(?:[T ]<h:\d{{2}}><i:\d{{2}}>(?:<s:\d{{2}}>(?:[.,]\d{{1,12}})?)?(?:{_ZONE})?)?",
     rf"<y:\d{{4}}><m:\d{{2}}><d:\d{{2}}>{_CLOCK}",
+    r"<y:(?:19|2[01])\d{2}><m:0[1-9]|1[0-2]><d:0[1-9]|[12]\d|3[01]><h:[01]\d|2[0-3]><i:[0-5]\d><s:[0-5]\d>",
     r"<e:\d{9,19}>",
     rf"<a:\d{{1,2}}>/<b:\d{{1,2}}>/<y:\d{{4}}|\d{{2}}>{_CLOCK}",
     rf"<a:\d{{1,2}}>-<b:\d{{1,2}}>-<y:\d{{4}}|\d{{2}}>{_CLOCK}",
@@ -92,44 +93,82 @@ def month_days(y: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(m, 0, 12)] + (leap & (m == 2))
 
 
+def _offset(zone: ZoneInfo, second: int) -> int:
+    """Offset in seconds that a zone has at an instant."""
+    at = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=second)
+    return int(at.astimezone(zone).utcoffset().total_seconds())
+
+
+@lru_cache(maxsize=100_000)
+def year_changes(zone: str, year: int) -> tuple[int, int, tuple[tuple[int, int], ...]]:
+    """(first second, offset then, changes as (second, new offset)) of one year of a zone, in UTC, looked for day by day."""
+    at, day = ZoneInfo(zone), 86_400
+    start, end = (int(days_from_civil(*(np.array([x]) for x in (y, 1, 1)))[0]) * day for y in (year, year + 1))
+    if year == FIRST_YEAR:
+        start += day  # the clock of the first and last day may lie outside the years there are
+    if year == LAST_YEAR:
+        end -= day
+    first = now = _offset(at, start)
+    changes = []
+    for low in range(start, end, day):
+        if _offset(at, low + day) == now:
+            continue
+        high = low + day
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if _offset(at, mid) != now else (mid, high)
+        now = _offset(at, high)
+        changes.append((high, now))
+    return start, first, tuple(changes)
+
+
+@lru_cache(maxsize=1_000)
+def transitions(zone: str, years: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(instants, offsets) for the given years and their neighbours: offsets[k] holds before instants[k] and after instants[k - 1]."""
+    cuts: list[int] = []
+    offsets: list[int] = []
+    for year in sorted({y for near in years for y in (near - 1, near, near + 1) if FIRST_YEAR <= y <= LAST_YEAR}):
+        start, first, changes = year_changes(zone, year)
+        if not offsets:
+            offsets.append(first)
+        elif first != offsets[-1]:  # it changed in years that aren't wanted
+            cuts.append(start)
+            offsets.append(first)
+        for second, offset in changes:
+            cuts.append(second)
+            offsets.append(offset)
+    return np.array(cuts, dtype=np.int64), np.array(offsets, dtype=np.int64)
+
+
+def _table(seconds: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
+    years = np.unique(seconds.astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64) + 1970)
+    return transitions(zone, tuple(np.clip(years, FIRST_YEAR, LAST_YEAR).tolist()) or (1970,))
+
+
 @cache
-def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """(instants, offsets, names): offsets[k] holds before instants[k] and after instants[k - 1]; names are abbreviations."""
-    at = ZoneInfo(zone)
-    offset = lambda t: int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(at).utcoffset().total_seconds())
-    start = int(datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp())
-    end = int(datetime(LAST_YEAR + 1, 1, 1, tzinfo=timezone.utc).timestamp())
-    cuts, offsets, step = [], [offset(start)], 7 * 86_400
-    for t in range(start, end, step):
-        if offset(t + step) != offsets[-1]:
-            low, high = t, t + step
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (low, mid) if offset(mid) != offsets[-1] else (mid, high)
-            cuts.append(high)
-            offsets.append(offset(high))
-    names: dict[str, int] = {}
-    for t in [start, *cuts]:
-        local = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(at)
-        if t >= 946_684_800 or not cuts:  # names in use since 2000
+def abbreviations(zone: str) -> dict[str, int]:
+    """Offsets of the zone's abbreviations in use since 2000."""
+    at, names = ZoneInfo(zone), {}
+    for year in range(2000, 2038):
+        start, _, changes = year_changes(zone, year)
+        for second in (start, *(x for x, _ in changes)):
+            local = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=second)).astimezone(at)
             names.setdefault(local.tzname(), int(local.utcoffset().total_seconds()))
-    now = datetime(2000, 1, 1, tzinfo=timezone.utc).astimezone(at)
-    names.setdefault(now.tzname(), int(now.utcoffset().total_seconds()))
-    return np.array(cuts, dtype=np.int64), np.array(offsets, dtype=np.int64), {k: v for k, v in names.items() if k.isalpha()}
+    return {k: v for k, v in names.items() if k.isalpha()}
 
 
 def to_local(instant: np.ndarray, zone: str) -> np.ndarray:
     """Clock seconds of UTC instants."""
-    cuts, offsets, _ = transitions(zone)
+    cuts, offsets = _table(instant, zone)
     return instant + offsets[np.searchsorted(cuts, instant, side="right")]
 
 
 def to_instant(local: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
     """(UTC seconds, whether the clock ever showed it) of clock seconds; the earlier of two instants."""
-    cuts, offsets, _ = transitions(zone)
+    cuts, offsets = _table(local, zone)
     guess = np.searchsorted(cuts, local - offsets.max(), side="right")
     best, found = np.zeros_like(local), np.zeros(len(local), bool)
-    for ahead in range(3):  # offsets in force around that time, from the earliest on
+    for ahead in range(4):  # offsets in force around that time, from the earliest on
         k = np.minimum(guess + ahead, len(offsets) - 1)
         instant = local - offsets[k]
         fits = (np.searchsorted(cuts, instant, side="right") == k) & ~found
@@ -195,7 +234,7 @@ def resolve(texts: Sequence[str], zone: str | None, order: str | None) -> tuple[
 
 def _shifts(zones: np.ndarray, zone: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(offset in seconds, whether known) of written zones; abbreviations are those of the source's zone."""
-    names = {"Z": 0, "UTC": 0, "GMT": 0} | ({k: v for k, v in transitions(zone)[2].items() if k not in ("UTC", "GMT")} if zone else {})
+    names = {"Z": 0, "UTC": 0, "GMT": 0} | ({k: v for k, v in abbreviations(zone).items() if k not in ("UTC", "GMT")} if zone else {})
     table: dict[str, tuple[int, bool]] = {"": (0, False)}
     for z in set(zones):
         bare = re.sub(r"^(?:UTC|GMT)(?=[+-])", "", z)

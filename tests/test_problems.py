@@ -8,6 +8,8 @@ from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lakewright.operators import bad_rows, drift, late_events, once, timestamps
 from lakewright.session import fresh_path
@@ -291,12 +293,14 @@ def test_uuid_notations(spark):
     ("Sun Jul 04 05:11:12 CDT 2021", "C", "2021-07-04", "2021-07-04T10:11:12Z"), ("Sun Jul 04 05:11:12 CEST 2021", "C", None, None), ("4th of July 2021", "M", "2021-07-04", "2021-07-03T22:00:00Z"),
     ("04-JUL-21", "C", "2021-07-04", "2021-07-04T05:00:00Z"), ("2021-07-04T23:00:00-03", "C", "2021-07-04", "2021-07-05T02:00:00Z"), ("2021-07-04 00:30:00+05:45", "C", "2021-07-03", "2021-07-03T18:45:00Z"),
     ("12:30", "C", None, None), ("", "C", None, None), ("2021-07-04 12:15:00 AM", "C", "2021-07-04", "2021-07-04T05:15:00Z"), ("2021-07-04 10:00:00", "?", None, None), ("2021-07-04", "?", "2021-07-04", None),
+    ("1965-07-04 12:00", "C", "1965-07-04", "1965-07-04T17:00:00Z"), ("1944-07-04 12:00", "L", "1944-07-04", "1944-07-04T10:00:00Z"), ("1969-06-01 08:00", "N", "1969-06-01", "1969-06-01T12:00:00Z"),
+    ("2105-07-04 12:00", "C", "2105-07-04", "2105-07-04T17:00:00Z"), ("20210704101112", "C", "2021-07-04", "2021-07-04T15:11:12Z"), ("0001-01-01 00:00", "U", "0001-01-01", "0001-01-01T00:00:00Z"), ("9999-12-31 23:59:59", "U", "9999-12-31", "9999-12-31T23:59:59Z"),
     ("Mon, 28 Feb 2022 05:27:24 GMT", "C", "2022-02-27", "2022-02-28T05:27:24Z"), ("99999999999999999999", "C", None, None), ("x" * 100_000, "C", None, None), ("2021-07-04T24:00:00Z", "C", None, None),
 ])
 def test_written_times(text, source, day, instant):
     import pandas as pd
 
-    known = {"C": ("America/Chicago", "MDY"), "M": ("Europe/Madrid", "DMY")}
+    known = {"C": ("America/Chicago", "MDY"), "M": ("Europe/Madrid", "DMY"), "L": ("Europe/London", "DMY"), "N": ("America/New_York", "MDY"), "U": ("UTC", "MDY")}
     got = timestamps.normal_texts(pd.Series([text, text]), pd.Series([source, source]), pd.Series([True, False]), known).tolist()
     assert got == [day or "UNRESOLVED", instant or "UNRESOLVED"]
 
@@ -316,6 +320,22 @@ def test_zone_arithmetic_agrees_with_the_library():
     assert days.tolist() == [(date(*x) - date(1970, 1, 1)).days for x in ((1970, 1, 1), (2000, 2, 29), (1, 1, 1), (9999, 12, 31))]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["America/Chicago", "Europe/London", "America/New_York", "Australia/Lord_Howe", "Africa/Casablanca", "Asia/Manila", "America/Sao_Paulo"]), st.datetimes(datetime(1900, 1, 1), datetime(2200, 1, 1)))
+def test_any_local_time_agrees_with_the_library(zone, local):
+    import numpy as np
+
+    local = local.replace(microsecond=0)
+    seconds = int((local - datetime(1970, 1, 1)).total_seconds())
+    instant, showed = timestamps.to_instant(np.array([seconds]), zone)
+    early = local.replace(tzinfo=ZoneInfo(zone), fold=0).astimezone(timezone.utc)
+    exists = early.astimezone(ZoneInfo(zone)).replace(tzinfo=None) == local
+    assert bool(showed[0]) == exists
+    if exists:
+        assert int(instant[0]) == int((early - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds())
+        assert timestamps.to_local(instant, zone).tolist() == [seconds]
+
+
 def test_normalise_with_clashing_columns(spark):
     df = spark.createDataFrame([("r", "C", "7/4/2021", None, "a", "b"), ("r", None, None, "junk", "a", "b")], "record_id string, table_name string, crash_date string, ts string, value string, _source string")
     profiles = spark.createDataFrame([("C", "America/Chicago", "MDY"), (None, "UTC", "MDY")], "table_name string, time_zone string, date_order string")
