@@ -243,12 +243,10 @@ def layer_differences(spark: SparkSession, d: str) -> DataFrame:
 def layer_changes(spark: SparkSession, d: str) -> DataFrame:
     """All crash columns of each record over the layers, from unified messages to business rows, where they differ."""
     bronze, order = table(spark, d, "bronze_crashes"), ("ingestion_ts", "batch_id")
-    heads = stage(drift.headers(bronze), "drift-headers")
-    names = drift.dictionary(heads.select(F.explode("header.key").alias("key")), drift.learn_synonyms(bronze, heads))
     first = lambda df: inspect.first_arrivals(df.select("record_id", *order, *CRASH_COLUMNS), "record_id", order)
     rows = stage(first(table(spark, d, "silver2_crashes")), "layer-standardized")  # the business rows are made from the same arrivals
     business = gold.typed(rows.withColumn("source_table", F.lit(None).cast("string")))
-    layers = {"bronze": first(drift.unified(bronze, names)), "silver1": first(table(spark, d, "silver1_crashes")), "silver2": rows, "gold": business}
+    layers = {"bronze": first(drift.unified(bronze, *drift.read_headers(bronze))), "silver1": first(table(spark, d, "silver1_crashes")), "silver2": rows, "gold": business}
     return inspect.layer_changes(layers, "record_id", CRASH_COLUMNS)
 
 

@@ -151,11 +151,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    """Every readable record in the crash columns, whatever its batch called them."""
+    """Every readable record in the union schema, whatever its batch called the columns: the crash columns and the added ones."""
     bronze = table(spark, d, "bronze_crashes")
-    heads = stage(drift.headers(bronze), "drift-headers")
-    names = drift.dictionary(heads.select(F.explode("header.key").alias("key")), drift.learn_synonyms(bronze, heads))
-    return drift.unified(bronze, names)
+    return drift.unified(bronze, *drift.read_headers(bronze))
+
+
+def p6_log(spark: SparkSession, d: str) -> DataFrame:
+    """The changes of p6_found numbered in order per source."""
+    return drift.logged(p6_found(spark, d))
+
+
+def p6_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and types as the envelopes of each batch hold them, with the number of records."""
+    heads = drift.headers(table(spark, d, "bronze_crashes"))
+    long = heads.select("table_name", "batch_id", "records", F.inline("header"))
+    return long.groupBy("table_name", "batch_id", F.col("key").alias("field_name"), "kind").agg(F.sum("records").alias("records"))
 
 
 def p6_types(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +177,7 @@ def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_daily_counts": p1_daily_counts, "p1_counter_state": p1_counter_state, "p1_incremental": p1_incremental, "p2_found": p2_found, "p2_loaded": p2_loaded, "p2_typed": p2_typed,
         "p2_reasons": p2_reasons, "p4_found": p4_found, "p4_once": p4_once, "p4_batches": p4_batches, "p5_found": p5_found, "p5_normalised": p5_normalised,
-        "p6_found": p6_found, "p6_unified": p6_unified, "p6_types": p6_types,
+        "p6_found": p6_found, "p6_unified": p6_unified, "p6_log": p6_log, "p6_headers": p6_headers, "p6_types": p6_types,
     }
 
 
@@ -180,6 +190,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kafka_timestamp, top
 """
 
 
+_HEADERS = """
+WITH e AS (SELECT json_extract_string(raw_value, '$.table_name') AS table_name, TRY_CAST(json_extract_string(raw_value, '$.batch_id') AS BIGINT) AS batch_id, raw_value AS j
+           FROM bronze_crashes WHERE json_valid(raw_value) AND json_type(raw_value) = 'OBJECT'),
+p AS (SELECT table_name, batch_id, json_type(j, '$.payload') AS inner_type, CASE WHEN json_type(j, '$.payload') = 'OBJECT' THEN json_extract(j, '$.payload') ELSE j END AS f FROM e WHERE table_name IS NOT NULL AND batch_id IS NOT NULL),
+k AS (SELECT table_name, batch_id, x.key AS field_name, CASE WHEN x.type = 'VARCHAR' THEN 'string' WHEN x.type = 'NULL' THEN 'void' WHEN x.type IN ('BOOLEAN', 'OBJECT', 'ARRAY') THEN lower(x.type) ELSE 'number' END AS kind
+      FROM p, json_each(p.f) x WHERE inner_type = 'OBJECT' OR (inner_type IS NULL AND x.key NOT IN ('record_id', 'batch_id', 'table_name', 'ingestion_ts', 'payload')))
+"""
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
 
 
@@ -219,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_daily_counts": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, count(DISTINCT source) AS sources, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day",
         "p1_incremental": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, count(DISTINCT source) AS sources, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day",
         "p1_counter_state": _P1_SQL + "SELECT strftime(day, '%Y-%m-%d') AS crash_date, source AS table_name, max(a // 86400000000) AS version, count(*) AS crashes FROM o WHERE outcome <> 'too_late' GROUP BY day, source",
+        "p6_headers": _HEADERS + "SELECT table_name, batch_id, field_name, kind, count(*) AS records FROM k GROUP BY ALL",
         "p4_found": _ARRIVALS + "SELECT topic, kafka_partition, kafka_offset FROM k WHERE n > 1",
         "p4_batches": _ARRIVALS + "SELECT kafka_timestamp, topic, kafka_partition, kafka_offset, id, n = 1 AS keep FROM k",
         "p4_once": _ARRIVALS + "SELECT kafka_timestamp, topic, kafka_partition, kafka_offset, id, n = 1 AS keep FROM k",

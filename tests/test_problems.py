@@ -347,12 +347,16 @@ def test_normalise_with_clashing_columns(spark):
 @pytest.mark.parametrize(("key", "column"), [
     ("crash_date", "crash_date"), ("CrashDate", "crash_date"), ("crashDate", "crash_date"), ("CRASH_DATE", "crash_date"), ("Crash Date", "crash_date"), ("crash-date", "crash_date"), ("crash.date", "crash_date"),
     ("src_crash_date", "crash_date"), ("crash_date_txt", "crash_date"), ("crash_date_v2", "crash_date"), ("date_crash", "crash_date"), ("cras_hour", "crash_hour"), ("num_unit", "num_units"), ("long", "longitude"),
-    ("hit_and_run_flag", "hit_and_run_i"), ("i_run_and_hit", "hit_and_run_i"), ("inju_no_indi", "injuries_no_indication"), ("gps_y", "latitude"), ("camera_ref", None), ("owner_county", None), ("crash", None), ("", None),
+    ("hit_and_run_flag", "hit_and_run_i"), ("i_run_and_hit", "hit_and_run_i"), ("inju_no_indi", "injuries_no_indication"), ("camera_ref", None), ("owner_county", None), ("crash", None), ("", None),
 ])
 def test_key_names(key, column):
     assert drift.resolve_key(key) == column
 
 
+def test_given_synonyms():
+    assert drift.resolve_key("gps_y") is None and drift.resolve_key("gps_y", synonyms={"gps_y": "latitude"}) == "latitude"
+
+
 def envelope(source, batch, change=None, nested=True, **meta):
     fields = {c: "" for c in CRASH_COLUMNS}
     (change or (lambda f: None))(fields)
@@ -366,7 +370,7 @@ def test_drift(spark):
         envelope("B", 2, lambda f: f.update(location={"x": 1}, street_no=None, lane_cnt=[1], dooring_i=True)), envelope("A", 1)[:-5], "[]", "", None, "null", envelope("A", 1) + " tail", '{"payload": 3, "table_name": "A", "batch_id": 1}',
         envelope("A", None), envelope(None, 3), envelope("A", 1),
     ]
-    found, names = drift.changes(spark.createDataFrame([(r, "z") for r in rows], "raw_value string, envelope string"))
+    found, names = drift.changes(spark.createDataFrame([(r, "z") for r in rows], "raw_value string, envelope string"), synonyms={"gps_y": "latitude"})
     got = {tuple(r) for r in found.collect()}
     assert got == {
         ("A", 1, "renamed", "latitude", "gps_y"), ("A", 2, "removed", "damage", ""), ("B", 1, "retyped", "crash_hour", "number"), ("B", 1, "added", "extra", ""), ("B", 2, "retyped", "location", "object"),
@@ -375,14 +379,42 @@ def test_drift(spark):
     reports = spark.createDataFrame([("SCHEMA_MISMATCH", "A", "9", ["damage", "latitude"], ["src_damage", "what"]), ("SCHEMA_MISMATCH", "A", "9", None, None), ("OTHER", "A", "9", ["damage"], [])], "failure_type string, folder string, batch_id string, expected_only array<string>, source_only array<string>")
     told = {tuple(r) for r in drift.reported_changes(reports, names).collect()}
     assert told == {("A", 9, "renamed", "damage", "src_damage"), ("A", 9, "added", "what", ""), ("A", 9, "removed", "latitude", "")}
-    unified = drift.unified(spark.createDataFrame([(r,) for r in rows], "raw_value string"), names)
-    assert unified.columns[4:] == list(CRASH_COLUMNS) and unified.count() == 6
+    assert [(r.seq, r.batch_id) for r in drift.logged(found.where("table_name = 'B'")).orderBy("seq").collect()] == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)]
+
+
+def test_union_schema(spark, monkeypatch):
+    rows = [
+        envelope("A", 1, lambda f: f.update(damage="a", CrashHour="9", crash_hour="7", cameraRef=3)), envelope("A", 2, lambda f: f.update(damage=5, camera_ref=4.5, flag=True, note=[1])), envelope("B", 1, lambda f: f.update(src_damage="b") or f.pop("damage"), nested=False),
+        envelope("B", 2, lambda f: f.update(Crash_Hour="8", damage=None, table=1, zone="z") or f.pop("crash_hour")), "junk",
+    ]
+    df = spark.createDataFrame([(r, 1) for r in rows], "raw_value string, vals int")
+    out = drift.unified(df, *drift.read_headers(df))
+    assert out.columns == [*drift.META, *CRASH_COLUMNS, "camera_ref", "flag", "note", "table", "zone", "more_fields"]
+    assert dict(out.dtypes) | {"camera_ref": "double", "flag": "boolean", "note": "string", "damage": "string"} == dict(out.dtypes)
+    got = {(r.table_name, r.batch_id): r for r in out.collect()}
+    assert [got[k].damage for k in sorted(got)] == ["a", "5", "b", None] and [got[k].crash_hour for k in sorted(got)] == ["7", "", "", "8"]
+    assert [got[k].camera_ref for k in sorted(got)] == [3.0, 4.5, None, None] and got["A", 2].note == "[1]" and got["A", 2].flag is True
+    monkeypatch.setattr(drift, "ADDED_COLUMNS", 2)
+    few = {(r.table_name, r.batch_id): r for r in drift.unified(df, *drift.read_headers(df)).collect()}
+    assert few["B", 2].more_fields == {"table": "1", "zone": "z"} and few["A", 1].camera_ref == 3.0 and few["A", 1].more_fields == {}
+    nothing = df.limit(0)
+    assert drift.unified(nothing, *drift.read_headers(nothing)).count() == 0
 
 
 def test_learned_names(spark):
     rows = [envelope("A", b, lambda f, b=b: f.update(mystery=f"PT {b}", noise="zzz") or f.pop("location")) for b in range(5)] + [envelope("B", b, lambda f, b=b: f.update(location=f"QU {b}")) for b in range(5)]
     df = spark.createDataFrame([(r,) for r in rows], "raw_value string")
-    assert drift.learn_synonyms(df, drift.headers(df)) == {"mystery": "location"}
+    _, names = drift.read_headers(df)
+    assert {r.key: r.column for r in names.where("key in ('mystery', 'noise')").collect()} == {"mystery": "location", "noise": None}
+
+
+def test_learned_names_of_one_file(spark):
+    """A single file tells by its values: sky is the weather, rev is nothing, though both stand for the same absent columns."""
+    sky = ["CLEAR", "RAIN", "SNOW", "clear"]
+    rows = [envelope("A", 1, lambda f, k=k: [f.pop(c) for c in ("weather_condition", "damage")] and f.update(sky=sky[k % 4], rev=f"REV {k}")) for k in range(20)]
+    rows += [envelope("B", b, lambda f, b=b: f.update(weather_condition=sky[b % 3], damage=f"OVER {b}")) for b in range(9)]
+    _, names = drift.read_headers(spark.createDataFrame([(r,) for r in rows], "raw_value string"))
+    assert {r.key: r.column for r in names.where("key in ('sky', 'rev')").collect()} == {"sky": "weather_condition", "rev": None}
 
 
 def test_lattice():
