@@ -2,8 +2,10 @@
 
 Workers write the records of a batch into CSV files, each with its number in front, and let DuckDB read them with reject
 tables. Rejected lines are joined back to the records by that number and give the class; what was loaded is cast to the columns'
-types in the same pass, and the typed outputs of all files are consolidated. A record that opens a quote and never closes it swallows its
-successors; records that came out neither loaded nor rejected, and those around them, are read again from files of their own.
+types in the same pass, and the typed outputs of all files are consolidated. A record that opens a quote and never closes it would swallow its
+successors; so each record with a quote is followed by a fence, a line that is a row of its own unless a quote is open: then the fence
+closes it, and the rejected line holds it. Records that still came out neither loaded nor rejected, and those around them, are read again
+from files of their own.
 
 The reader is laxer than RFC 4180 about quotes within unquoted fields and blanks around quoted ones, so records with a quote that it accepts,
 or rejects for their number of columns, are checked against the grammar. A typed column accepts signs and exponents, so
@@ -82,7 +84,6 @@ class CsvReader:
         self.marks = self._marks(everything)
         for char, mark in self.marks.items():
             texts = [t.replace(char, mark) for t in texts]
-        self.line = max(2_097_152, 4 * max(map(len, texts), default=0) + 64)
         db.execute("create or replace temp table outcome (n INTEGER, broken BOOLEAN, loaded BOOLEAN, bad_column VARCHAR, fields VARCHAR[], typed " + self._typed_kind() + ")")
         with tempfile.TemporaryDirectory() as folder:  # the reader takes files; gone after the batch
             self._load(folder, texts, [list(range(len(texts)))])
@@ -110,15 +111,18 @@ class CsvReader:
 
     def _load(self, folder: str, texts: Sequence[str], groups: list[list[int]]) -> None:
         """Read groups of records, a file each, and add what was loaded and what was rejected to the outcome."""
-        db, paths = self.db, []
+        db, paths, fence = self.db, [], f'{self.token}F"{"," * len(self.names)}\n' if len(groups) == 1 else ""
         for k, group in enumerate(groups):
             paths.append(os.path.join(folder, f"{k}.csv"))
             with open(paths[-1], "w", newline="", encoding="utf-8", errors="surrogatepass") as f:
-                f.writelines(f"{self.token}{i},{texts[i]}\n" for i in group)
+                f.writelines(f"{self.token}{i},{texts[i]}\n{fence if chr(34) in texts[i] else ''}" for i in group)
+        # room for the longest file of single records, or for many lines of a large one; a buffer is allocated per file
+        line = 4 * max((len(texts[i]) for group in groups for i in group), default=0) + 256
+        buffer = 2 * line if len(groups) > 1 else max(2 * line, 8_000_000)
         db.execute("drop table if exists reject_errors; drop table if exists reject_scans")
         scan = (
             f"read_csv(?, header = false, auto_detect = false, delim = ',', quote = '\"', escape = '\"', new_line = '\\n', strict_mode = true, null_padding = false, "
-            f"store_rejects = true, rejects_limit = 0, parallel = false, max_line_size = {self.line}, buffer_size = {4 * self.line}, nullstr = '{self.token}', columns = {self.columns})"
+            f"store_rejects = true, rejects_limit = 0, parallel = false, max_line_size = {line}, buffer_size = {buffer}, nullstr = '{self.token}', columns = {self.columns})"
         )
         number = f"try_cast(substr(c0, {len(self.token) + 1}) as INTEGER)"
         trimmed = lambda c: f"regexp_replace(c{self.names.index(c) + 1}, '^\\s+|\\s+$', '', 'g')"
@@ -129,7 +133,8 @@ class CsvReader:
         bad = f"case {wrong} end" if wrong else "NULL"
         db.execute(f"insert into outcome select {number}, false, true, {bad}, {fields}, {values if self.fields else 'NULL'} from {scan} where starts_with(c0, '{self.token}') and {number} is not null", [paths])
         db.execute(
-            f"insert into outcome select n, bool_or(kind = 'UNQUOTED VALUE'), false, NULL, NULL, NULL from (select try_cast(regexp_extract(csv_line, '^{self.token}([0-9]+),', 1) as INTEGER) as n, error_type as kind from reject_errors) "
+            f"insert into outcome select n, bool_or(broken), false, NULL, NULL, NULL from (select try_cast(regexp_extract(csv_line, '^{self.token}([0-9]+),', 1) as INTEGER) as n, "
+            f"error_type = 'UNQUOTED VALUE' or contains(csv_line, '{self.token}F\"') as broken from reject_errors) "
             "where n is not null and n not in (select n from outcome) group by n"
         )
         for path in paths:
@@ -154,9 +159,9 @@ class CsvReader:
         return f"{text} <> '' and not coalesce({' and '.join(rules)}, false)"
 
     def _doubtful(self, count: int) -> set[int]:
-        """Records that an open quote may have hidden or joined to others: broken ones, those without outcome, and the one before these."""
+        """Records that came out neither loaded nor rejected, and the one before each, which may have hidden it."""
         told = dict(self.db.execute("select n, broken from outcome").fetchall())
-        found, last = {i for i, broken in told.items() if broken}, None
+        found, last = set(), None
         for i in range(count):
             if i in told:
                 last = i
