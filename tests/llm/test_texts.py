@@ -192,6 +192,47 @@ def test_pieces_keep_natural_boundaries():
     check_pieces(" " * 9_000 + "a", 500, 50)
 
 
+def shape(node, data):
+    inner = [shape(c, data) for c in node.children]
+    return (node.kind, inner) if inner else (node.kind, data[node.begin : node.end].decode().strip())
+
+
+def test_tree():
+    text = "intro\n\nTitle\n=====\npara one\nstill one\n\n## Sub\n- a\n  more a\n  - nested\n- b\n\n```\n# no heading\n\n- no item\n```\n| x | y |\n| 1 | 2 |\nlast\n---\n# Empty\n# Full\n<h2>Html</h2>\n1. one\n2) two\n# End"
+    data = text.encode()
+    tree = splitting.parse(data)
+
+    def covered(node):
+        if node.children:
+            assert (node.children[0].begin, node.children[-1].end) == (node.begin, node.end) and all(a.end == b.begin for a, b in zip(node.children, node.children[1:]))
+            for c in node.children:
+                covered(c)
+
+    covered(tree)
+    kinds = lambda n: (n.kind.split()[0], [kinds(c) for c in n.children])
+    leaf = lambda k: (k, [])
+    assert kinds(tree) == ("text", [
+        leaf("paragraph"),
+        ("section", [leaf("paragraph"), ("section", [("list", [("item", [leaf("item"), leaf("item")]), leaf("item")]), leaf("code"), ("table", [leaf("row"), leaf("row")]), leaf("paragraph")])]),
+        ("section", [("section", [("list", [leaf("item"), leaf("item")])])]), leaf("section"),
+    ])
+    assert data[tree.children[2].begin :].startswith(b"# Empty")
+
+
+def test_headings_stay_with_their_text():
+    sentence = "The driver of the red taxi said it stalled near Ardle St. "
+    for sizes in ((90, 30, 90), (400, 2, 2), (5, 5, 300)):
+        text = "".join(f"## {name}\n\n" + sentence * n + "\n\n" for name, n in zip("ABC", sizes))
+        parts = check_pieces(text, 900, 100)
+        bodies = [text[b:e] for _, b, e, _ in parts]
+        assert not any(body.rstrip().rsplit("\n", 1)[-1].startswith("##") for body in bodies)
+        assert all(len(encoding()[0].encode_ordinary(b)) > 10 for b in bodies)
+        for body in bodies:  # a heading within a piece: all that precedes it there is whole
+            assert body.count("## ") < 2 or body.startswith("## ")
+    text = "# T\n" + "```\n" + "# comment in code\nx = 1\n" * 20 + "```\n" + sentence * 40
+    assert [c.kind for c in splitting.parse(text.encode()).children[0].children] == ["code", "paragraph"]
+
+
 def test_pieces_in_spark(spark):
     df = spark.createDataFrame([(1, "word. " * 4_000, 1), (1, "word. " * 4_000, 1), (2, "short", 1), (3, None, 1), (4, "", 1), (None, "word " * 4_000, 1)], "doc_id long, text string, piece int")
     out = splitting.pieces(df)
