@@ -7,9 +7,9 @@ PHRASES = {
     "weather_condition": {
         "CLEAR": ("SUNSHINE", "SUNNY", "CLOUDLESS", "CLEAR SKIES", "CLEAR SKY", "FAIR", "FAIR WEATHER", "BLUE SKY", "DESPEJADO", "SOLEADO", "CIELO DESPEJADO", "ENSOLEILLE", "SONNIG", "KLAR"),
         "CLOUDY": ("CLOUD COVER", "GRAY SKY", "GREY SKY", "GRAY SKIES", "GREY SKIES", "DULL", "NUBLADO", "NUBOSO", "CUBIERTO", "NUAGEUX", "COUVERT", "BEWOLKT"),
-        "RAIN": ("DOWNPOUR", "WET", "POURING", "LLUVIA", "LLUVIOSO", "LLOVIZNA", "LLOVIENDO", "PLUIE", "REGEN"),
-        "SNOW": ("FLURRIES", "BLIZZARD", "WHITEOUT", "NIEVE", "NEVANDO", "NEVADA", "NEIGE", "SCHNEE"),
-        "FOG": ("MIST", "MISTY", "HAZE", "FOGBANK", "FOG BANK", "SMOKE", "NIEBLA", "NEBLINA", "BRUMA", "BROUILLARD", "NEBEL"),
+        "RAIN": ("DOWNPOUR", "WET", "POURING", "LLUVIA", "LLUVIOSO", "LLOVIZNA", "LLOVIENDO", "PLUIE", "REGEN", "PIOGGIA", "CHUVA", "MIZZLE"),
+        "SNOW": ("FLURRIES", "BLIZZARD", "WHITEOUT", "NIEVE", "NEVANDO", "NEVADA", "NEIGE", "SCHNEE", "NEVE", "SNEEUW"),
+        "FOG": ("MIST", "MISTY", "HAZE", "FOGBANK", "FOG BANK", "SMOKE", "NIEBLA", "NEBLINA", "BRUMA", "BROUILLARD", "NEBEL", "NEBBIA", "NEVOEIRO"),
         "SLEET": ("ICE PELLETS", "SNOW MIXED WITH RAIN", "RAIN AND SNOW MIX", "RAIN AND SNOW MIXED", "WINTRY MIX", "AGUANIEVE"),
         "HAIL": ("HAILSTONES", "HAILSTORM", "GRANIZO", "PEDRISCO", "GRELE", "HAGEL"),
         "FREEZING RAIN": ("ICY RAIN", "FRZ RAIN", "FREEZING DRIZZLE", "ICE STORM", "GLAZE", "LLUVIA HELADA", "LLUVIA ENGELANTE", "PLUIE VERGLACANTE"),
@@ -18,18 +18,18 @@ PHRASES = {
         "UNKNOWN": ("UNDETERMINED", "NOT DETERMINED", "COULD NOT BE DETERMINED", "UNABLE TO DETERMINE", "NOT RECORDED", "NOT REPORTED", "DESCONOCIDO", "DESCONOCIDA", "INCONNU", "UNBEKANNT"),
     },
     "crash_month": {
-        "JANUARY": ("ENERO", "JANVIER", "JANUAR", "GENNAIO", "JANEIRO"),
-        "FEBRUARY": ("FEBRERO", "FEVRIER", "FEBRUAR", "FEBBRAIO", "FEVEREIRO"),
-        "MARCH": ("MARZO", "MARS", "MAERZ", "MARZ", "MRZ", "MARCO"),
-        "APRIL": ("ABRIL", "AVRIL", "APRILE", "ABR"),
-        "MAY": ("MAYO", "MAI", "MAGGIO", "MAIO"),
-        "JUNE": ("JUNIO", "JUIN", "JUNI", "GIUGNO", "JUNHO"),
-        "JULY": ("JULIO", "JUILLET", "JULI", "LUGLIO", "JULHO"),
-        "AUGUST": ("AGOSTO", "AOUT", "AGO"),
-        "SEPTEMBER": ("SEPTIEMBRE", "SETIEMBRE", "SEPTEMBRE", "SETTEMBRE", "SETEMBRO"),
-        "OCTOBER": ("OCTUBRE", "OCTOBRE", "OKTOBER", "OTTOBRE", "OUTUBRO", "OKT"),
-        "NOVEMBER": ("NOVIEMBRE", "NOVEMBRE", "NOVEMBRO"),
-        "DECEMBER": ("DICIEMBRE", "DECEMBRE", "DEZEMBER", "DICEMBRE", "DEZEMBRO", "DIC", "DEZ"),
+        "JANUARY": ("ENERO", "JANVIER", "JANUAR", "GENNAIO", "JANEIRO", "JANUARI", "STYCZEN"),
+        "FEBRUARY": ("FEBRERO", "FEVRIER", "FEBRUAR", "FEBBRAIO", "FEVEREIRO", "FEBRUARI", "LUTY"),
+        "MARCH": ("MARZO", "MARS", "MAERZ", "MARZ", "MRZ", "MARCO", "MAART", "MARZEC"),
+        "APRIL": ("ABRIL", "AVRIL", "APRILE", "ABR", "KWIECIEN"),
+        "MAY": ("MAYO", "MAI", "MAGGIO", "MAIO", "MEI", "MAJ"),
+        "JUNE": ("JUNIO", "JUIN", "JUNI", "GIUGNO", "JUNHO", "CZERWIEC"),
+        "JULY": ("JULIO", "JUILLET", "JULI", "LUGLIO", "JULHO", "LIPIEC"),
+        "AUGUST": ("AGOSTO", "AOUT", "AGO", "AUGUSTUS", "SIERPIEN"),
+        "SEPTEMBER": ("SEPTIEMBRE", "SETIEMBRE", "SEPTEMBRE", "SETTEMBRE", "SETEMBRO", "WRZESIEN"),
+        "OCTOBER": ("OCTUBRE", "OCTOBRE", "OKTOBER", "OTTOBRE", "OUTUBRO", "OKT", "PAZDZIERNIK"),
+        "NOVEMBER": ("NOVIEMBRE", "NOVEMBRE", "NOVEMBRO", "LISTOPAD"),
+        "DECEMBER": ("DICIEMBRE", "DECEMBRE", "DEZEMBER", "DICEMBRE", "DEZEMBRO", "DIC", "DEZ", "GRUDZIEN"),
     },
 }
 
@@ -48,6 +48,15 @@ WORDS = {
     },
 }
 
+# Words that only say how, how much or when.
+MODIFIERS = {
+    "weather_condition": (
+        "A", "ACROSS", "ALL", "AND", "BAD", "BLOWING", "BRIGHT", "CONDITION", "CONDITIONS", "DENSE", "DULL", "FAIRLY", "FALLING", "GRAY", "GREY", "HARD", "HEAVY", "HIGH", "IN", "IS", "IT", "LIGHT", "LIKE", "LOW", "MILD", "MODERATE",
+        "MOSTLY", "OF", "OUT", "OUTSIDE", "PARTLY", "PATCHES", "PATCHY", "QUITE", "SEVERE", "SKIES", "SKY", "SLIGHT", "SOME", "STEADY", "STRONG", "THE", "THICK", "VERY", "WAS", "WEATHER", "WITH",
+    ),
+    "crash_month": ("BEGINNING", "EARLY", "END", "IN", "LATE", "MID", "MIDDLE", "MONTH", "OF", "THE"),
+}
+
 # Words that together speak for one canonical value.
 WORD_PAIRS = {
     "weather_condition": {"FREEZING RAIN": (("FREEZING", "RAIN"), ("FREEZING", "DRIZZLE"), ("ICY", "RAIN"), ("ICY", "DRIZZLE"))},

@@ -1,13 +1,14 @@
 """Free-entered values mapped to the canonical value they mean, and the unmatched reported.
 
-The reference entries of a field form a trie whose paths are their spellings: canonical values, accepted synonyms, and aliases
-(translations, descriptions). A value is searched with a Levenshtein automaton that walks the trie: its state is a row of edit
+The entries of a field form one trie whose paths are their spellings: canonical values, accepted synonyms, and alias paths (translations, phrases) from a table
+that the user may extend. A value is searched with a Levenshtein automaton that walks the trie: its state is a row of edit
 distances, a branch is left when the whole row exceeds the bound, and all entries within the entry's length-dependent distance
 come back. A swap of neighbours is one edit. The value is mapped if the nearest entries mean one canonical value.
 
-Aliases match exactly or not at all: only spellings of the reference list may be misspelt. Before the search a value is freed of
-decoration (brackets, codes, repeated halves, spaced letters); what is left may also be a number of a month, an abbreviation
-of exactly one canonical value, or a description whose words speak for exactly one.
+A value is freed of decoration (brackets, codes, repeated halves, spaced letters) before it is searched, so that its edits are spent on its letters. What
+no entry is near to may be the number of a month, an abbreviation of exactly one canonical value, or a description: every one of its words must then
+either be an entry of the field's second trie, of words, and all these mean one value, or be a word that only says how or when (``MODIFIERS``). One other
+word leaves it unmatched: SNOW PLOW is no weather.
 
 Reference entries are a list whose size is checked; it goes to the workers once. Each distinct value is searched once per worker.
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.llm.aliases import PHRASES, ROMAN, WORD_PAIRS, WORDS
+from lakewright.llm.aliases import MODIFIERS, PHRASES, ROMAN, WORD_PAIRS, WORDS
 
 UNMATCHED = "UNMATCHED"
 
@@ -39,6 +40,11 @@ def bound(length: int) -> int:
     return 0 if length <= 3 else 1 if length <= 5 else 2
 
 
+def alias_bound(length: int) -> int:
+    """Edits by which an alias or a word of a description may differ: less than a spelling of the reference list."""
+    return 0 if length <= 6 else 1
+
+
 class Trie:
     """Spellings by their letters, each with the canonical values it stands for."""
 
@@ -46,16 +52,17 @@ class Trie:
 
     def __init__(self) -> None:
         self.children: dict[str, Trie] = {}
-        self.entries: set[str] = set()
+        self.entries: dict[str, int] = {}
         self.limit = 0  # the greatest bound of any entry below
 
-    def add(self, spelling: str, canonical: str) -> None:
-        node, limit = self, bound(len(spelling))
+    def add(self, spelling: str, canonical: str, limit: int | None = None) -> None:
+        """Add an entry that may differ by ``limit`` edits, by default according to its length."""
+        node, limit = self, bound(len(spelling)) if limit is None else limit
         node.limit = max(node.limit, limit)
         for letter in spelling:
             node = node.children.setdefault(letter, Trie())
             node.limit = max(node.limit, limit)
-        node.entries.add(canonical)
+        node.entries[canonical] = max(limit, node.entries.get(canonical, 0))
 
     def search(self, value: str) -> list[tuple[int, str, int]]:
         """(distance, canonical value, length of the spelling) of all entries within their bound."""
@@ -70,8 +77,8 @@ class Trie:
                 if older is not None and k > 1 and value[k - 1] == before and value[k - 2] == letter:
                     cost = min(cost, older[k - 2] + 1)
                 new.append(cost)
-            if node.entries and new[-1] <= bound(depth):
-                found += [(new[-1], c, depth) for c in node.entries]
+            if node.entries:
+                found += [(new[-1], c, depth) for c, limit in node.entries.items() if new[-1] <= limit]
             if min(new) <= node.limit or min(row) < node.limit:
                 stack += [(child, x, letter, new, row, depth + 1) for x, child in node.children.items()]
         return found
@@ -80,7 +87,7 @@ class Trie:
 class Canon:
     """Resolution of one field's values."""
 
-    def __init__(self, field: str, mapping: Mapping[str, str]):
+    def __init__(self, field: str, mapping: Mapping[str, str], aliases: Mapping[str, str] | None = None):
         self.field = field
         self.canonical = sorted(set(mapping.values()))
         self.exact = dict(mapping) | {c: c for c in self.canonical}
@@ -88,12 +95,16 @@ class Canon:
         for spelling, canonical in self.exact.items():
             self.trie.add(spelling, canonical)
         held = set(self.canonical)
-        self.aliases = {p: c for c, phrases in PHRASES.get(field, {}).items() if c in held for p in phrases if p not in self.exact}
-        self.alias_path = Trie()
+        aliases = given_aliases(field) if aliases is None else aliases
+        self.aliases = {p: c for p, c in aliases.items() if c in held and p not in self.exact}
         for phrase, canonical in self.aliases.items():
-            self.alias_path.add(phrase, canonical)
-        self.words = {w: c for c, ws in WORDS.get(field, {}).items() if c in held for w in ws}
+            self.trie.add(phrase, canonical, alias_bound(len(phrase)))
+        self.words = Trie()
+        for canonical, words in WORDS.get(field, {}).items():
+            for word in words if canonical in held else ():
+                self.words.add(word, canonical, alias_bound(len(word)))
         self.pairs = [(set(p), c) for c, ps in WORD_PAIRS.get(field, {}).items() if c in held for p in ps]
+        self.modifiers = set(MODIFIERS.get(field, ()))
         self.months = field.endswith("month")
 
     def known(self, value: str) -> bool:
@@ -104,16 +115,20 @@ class Canon:
         text = " ".join(value.upper().split())
         if text in self.exact:
             return self.exact[text]
-        found = (self._plain(plain) for plain in undecorated(text))
+        plain = list(undecorated(text))
+        for form in plain:
+            if found := self.exact.get(form) or self.aliases.get(form):
+                return found
+        bare = [form for form in plain[1:] if form] or plain[:1]
+        found = (self._plain(form) for form in bare)
         return next((c for c in found if c and c != UNMATCHED), UNMATCHED)
 
     def _plain(self, text: str) -> str | None:
         """Canonical value of an undecorated text, UNMATCHED if it means several, None if nothing is known of it."""
         if not text:
             return None
-        hits = [(d, c) for d, c, _ in self.alias_path.search(text) if d == 0]
-        if text in self.exact or hits:
-            return self.exact.get(text) or hits[0][1]
+        if found := self.exact.get(text) or self.aliases.get(text):
+            return found
         if self.months and (number := self._number(text)) is not None:
             return number
         halves = [h.strip() for h in re.split(r"\s*[/|&+]\s*|\s+OR\s+", text)]
@@ -153,12 +168,27 @@ class Canon:
         return None
 
     def _described(self, text: str) -> str | None:
-        said = re.findall(r"[A-Z]+", text)
-        for pair, canonical in self.pairs:
-            if pair <= set(said):
-                return canonical
-        meant = {self.words[w] for w in said if w in self.words}
-        return None if not meant or {"NO", "NOT"} & set(said) else meant.pop() if len(meant) == 1 else UNMATCHED
+        """What all words of a description speak for, but for those that only say how or when."""
+        said = [w for w in re.findall(r"[^\W_]+", text) if w not in self.modifiers and not (self.months and re.fullmatch(r"\d{1,2}(?:ST|ND|RD|TH)?|\d{4}", w))]
+        if not said or len(said) == len(text.split()) == 1 and self.months:
+            return None
+        pairs = {c for pair, c in self.pairs if pair == set(said)}
+        if pairs:
+            return pairs.pop()
+        meant = set()
+        for word in said:
+            hits = self.trie.search(word) if self.months else self.words.search(word)
+            best = min((d for d, _, _ in hits), default=0)
+            named = {c for d, c, _ in hits if d == best}
+            if not named:
+                return None
+            meant |= named
+        return meant.pop() if len(meant) == 1 else UNMATCHED
+
+
+def given_aliases(field: str) -> dict[str, str]:
+    """alias -> canonical value of a field, from the lists that come with the library."""
+    return {p: c for c, phrases in PHRASES.get(field, {}).items() for p in phrases}
 
 
 def subsequence(short: str, long: str) -> bool:
@@ -170,6 +200,7 @@ def undecorated(text: str) -> Iterator[str]:
     """The text with less and less around it; most of it first."""
     yield text
     bare = re.sub(r"\s*[\(\[][^)\]]*[\)\]]\s*", " ", text)
+    bare = bare if bare.strip() else re.sub(r"[\(\)\[\]]", " ", text)
     bare = re.sub(r"^[A-Z ]{2,20}[=:]\s*", "", bare)
     bare = " ".join(bare.strip(" \t.?!*;:,-_~\"'`#=<>").split())
     halves = re.split(r"\s*[/|]\s*", bare)
@@ -196,12 +227,26 @@ def reference(mappings: DataFrame, fields: Iterable[str]) -> dict[str, dict[str,
     return out
 
 
-def canonicalise(df: DataFrame, mappings: DataFrame, fields: list[str], keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
+def alias_table(aliases: DataFrame, fields: Iterable[str]) -> dict[str, dict[str, str]]:
+    """field -> alias -> canonical value of a table (field_name, alias, canonical_value), beside the lists that come with the library; the table holds."""
+    spelling, canonical = F.upper(F.trim("alias")), F.upper(F.trim("canonical_value"))
+    rows = aliases.where(F.col("field_name").isin(*fields)).groupBy("field_name", spelling.alias("s")).agg(F.max(canonical).alias("c")).where("s is not null and c is not null").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} aliases")
+    out = {f: given_aliases(f) for f in fields}
+    for r in rows:
+        out[r.field_name][r.s] = r.c
+    return out
+
+
+def canonicalise(df: DataFrame, mappings: DataFrame, fields: list[str], keep: tuple[str, ...] = ("record_id",), aliases: DataFrame | None = None) -> DataFrame:
     """(keep..., field_name, value, canonical_value, known) for every non-null value of the fields.
 
-    ``known`` tells values that the reference lists as they are; others are searched. canonical_value may be UNMATCHED.
+    ``known`` tells values that the reference lists as they are; others are searched. canonical_value may be UNMATCHED. aliases:
+    (field_name, alias, canonical_value), more alias paths for the trie.
     """
     entries = reference(mappings, fields)
+    paths = {f: given_aliases(f) for f in fields} if aliases is None else alias_table(aliases, fields)
     canons: dict[str, Canon] = {}
 
     @F.pandas_udf("canonical_value string, known boolean")
@@ -213,7 +258,7 @@ def canonicalise(df: DataFrame, mappings: DataFrame, fields: list[str], keep: tu
                 if key not in memo:
                     if len(memo) >= MEMO:
                         memo.clear()
-                    canon = canons.get(key[0]) or canons.setdefault(key[0], Canon(key[0], entries[key[0]]))
+                    canon = canons.get(key[0]) or canons.setdefault(key[0], Canon(key[0], entries[key[0]], paths[key[0]]))
                     memo[key] = (canon.resolve(key[1]), canon.known(key[1]))
                 out.append(memo[key])
             yield pd.DataFrame(out, columns=["canonical_value", "known"])

@@ -20,7 +20,7 @@ MONTH_CANON, WEATHER_CANON = canon.Canon("crash_month", MONTH), canon.Canon("wea
 @pytest.mark.parametrize(("value", "want"), [
     ("OKTOBER", "OCTOBER"), ("mayo", "MAY"), ("MAR.", "MARCH"), ("*MAY*", "MAY"), ("MAY / MAY", "MAY"), ("MAY (reported)", "MAY"), ("CODE=JULY", "JULY"), ("M A Y", "MAY"), ("J U L L Y", "JULY"), ("M08", "AUGUST"), ("06.0", "JUNE"),
     ("5TH MONTH", "MAY"), ("MONTH 2", "FEBRUARY"), ("VII", "JULY"), ("SEPT", "SEPTEMBER"), ("FEBR.", "FEBRUARY"), ("NOVBR", "NOVEMBER"), ("UJLY", "JULY"), ("OTCOMER?", "OCTOBER"), ("JULE", "UNMATCHED"), ("JUNY", "UNMATCHED"),
-    ("MA", "UNMATCHED"), ("13", "UNMATCHED"), ("XX", "UNMATCHED"), ("TUESDAY", "UNMATCHED"), ("MAY / JUNE", "UNMATCHED"), ("", "UNMATCHED"), ("x" * 50_000, "UNMATCHED"), ("Q2", "UNMATCHED"),
+    ("MA", "UNMATCHED"), ("13", "UNMATCHED"), ("XX", "UNMATCHED"), ("TUESDAY", "UNMATCHED"), ("MAY / JUNE", "UNMATCHED"), ("JUNE 2021", "JUNE"), ("06 JUN", "JUNE"), ("LATE JUNE", "JUNE"), ("JUNE HOUSE", "UNMATCHED"), ("SEPTIEMBER", "SEPTEMBER"), ("MAART", "MARCH"), ("", "UNMATCHED"), ("x" * 50_000, "UNMATCHED"), ("Q2", "UNMATCHED"),
 ])
 def test_months(value, want):
     assert MONTH_CANON.resolve(value) == want
@@ -29,6 +29,7 @@ def test_months(value, want):
 @pytest.mark.parametrize(("value", "want"), [
     ("CLRAR WEATHER", "CLEAR"), ("SKY WAS CLEAR", "CLEAR"), ("RAIN OR SNOW", "UNMATCHED"), ("CLEAR/SNOW", "UNMATCHED"), ("RAIL", "UNMATCHED"), ("Rian", "RAIN"), ("ICY RAIN", "FREEZING RAIN"), ("RAIN, FREEZING", "FREEZING RAIN"),
     ("lluvia", "RAIN"), ("DENSE MIST", "FOG"), ("SNOW ADNS RAIN MIX (REPORTED)", "SLEET"), ("TRAFFIC LIGHT", "UNMATCHED"), ("DRY PAVEMENT", "UNMATCHED"), ("#REF!", "UNMATCHED"), ("STRONG GUSTS", "HIGH WIND"), ("NO RAIN", "UNMATCHED"),
+    ("SNOW PLOW", "UNMATCHED"), ("CLEAR LAKE DRIVE", "UNMATCHED"), ("FOG LIGHTS ON", "UNMATCHED"), ("NEVER RAIN", "UNMATCHED"), ("WITHOUT SNOW", "UNMATCHED"), ("HEAVY SNOWFAL", "SNOW"), ("*CLOUDDYY*", "CLOUDY"), ("(RAIN)", "RAIN"), ("CODE=FREEZZING RAIN", "FREEZING RAIN"), ("PIOGGIA", "RAIN"),
 ])
 def test_weather(value, want):
     assert WEATHER_CANON.resolve(value) == want
@@ -61,6 +62,9 @@ def test_canonicalise(spark):
     out = canon.canonicalise(df, maps, ["crash_month"])
     assert sorted((r.record_id or "", r.value, r.canonical_value, r.known) for r in out.collect()) == [("", "zzz", "UNMATCHED", False), ("a", "mar", "MARCH", True), ("b", "Marhc", "MARCH", False), ("b", "Marhc", "MARCH", False)]
     assert canon.canonicalise(df.limit(0), maps.limit(0), ["crash_month"]).count() == 0
+    more = spark.createDataFrame([("crash_month", "wiosna", "MARCH", 1), ("crash_month", None, "MAY", 1), ("other", "ZZZ", "MAY", 1)], "field_name string, alias string, canonical_value string, added_at int")
+    spring = spark.createDataFrame([("a", "WIOSNA", 1)], "record_id string, crash_month string, value int")
+    assert [r.canonical_value for r in canon.canonicalise(spring, maps, ["crash_month"], aliases=more).collect()] == ["MARCH"]
 
 
 def make_texts(seed=5, n=120):
