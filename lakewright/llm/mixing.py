@@ -1,11 +1,11 @@
 """Documents combined so that each source contributes a target share of all tokens.
 
 Every document gets a hash-random key. A source's documents are range-partitioned by key into fixed buckets; token sums per bucket
-give prefix sums over the buckets, so the place where the source's budget ends is known up to one bucket, and only that bucket's
-documents are put in order. A budget beyond the source's own tokens repeats all of them in full passes, up to the allowed number,
+give prefix sums over the buckets, so the place where the source's budget ends is known up to one bucket; that bucket is divided once more in the
+same way, and only the documents of one part in BUCKETS x BUCKETS are put in order. A budget beyond the source's own tokens repeats all of them in full passes, up to the allowed number,
 and takes the rest of the budget from the start of the order. Token counts are exact and made once.
 
-Only sums per (source, bucket) are gathered: sources x BUCKETS rows, whatever the number of documents.
+Only sums per (source, bucket) are gathered, twice: sources x BUCKETS rows, whatever the number of documents.
 
 Defined results: documents without source, or of a source without target, are not taken but count in the total; of several targets of a
 source the least holds; a source without documents reaches 0; NULL texts have 0 tokens; rows may repeat and count each.
@@ -25,14 +25,15 @@ MAX_TARGETS = 100_000
 
 
 def counted(documents: DataFrame, *, seed: int = 0, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens, key, bucket), written once and read by all later steps."""
+    """(doc_id, source, n_tokens, key, bucket, fine), written once and read by all later steps."""
     tokens = count_tokens("text", folder, vocabulary).alias("n_tokens")
     rows = documents.select("doc_id", "source", tokens, F.xxhash64(F.lit(seed), "doc_id", "source", F.xxhash64("text")).alias("key"))
-    return stage(rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS)), "mix-tokens")
+    fine = F.shiftrightunsigned(F.shiftleft("key", BUCKET_BITS), 64 - BUCKET_BITS)
+    return stage(rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS)).withColumn("fine", fine), "mix-tokens")
 
 
 def plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: budget, full passes, and where the last pass ends (cut bucket, tokens left for it)."""
+    """One row per target: budget, full passes, and where the last pass ends (cut bucket, part of it, tokens left for that part)."""
     if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     wanted = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("most"))).alias("t"))
@@ -47,19 +48,31 @@ def plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
     whole = F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats").cast("bigint"))).otherwise(F.lit(0))
     planned = planned.withColumn("passes", whole)
     planned = planned.withColumn("rest", F.when(F.col("passes") < F.col("max_repeats"), F.col("budget") - F.col("passes") * F.col("available")).otherwise(F.lit(0)))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    prefix = sums.select("source", "bucket", F.sum("tokens").over(upto).alias("upto"), "tokens").join(F.broadcast(planned.select("source", "rest")), "source")
+    prefix = _prefix(sums, "bucket").join(F.broadcast(planned.select("source", "rest")), "source")
     ends = prefix.where("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("end"))
+    ends = stage(ends.select("source", F.col("end.bucket").alias("cut"), F.col("end.left").alias("rest")), "mix-ends")
+    edge = rows.join(F.broadcast(ends), "source").where("bucket = cut")
+    parts = _prefix(edge.groupBy("source", "fine", "rest").agg(F.sum("n_tokens").alias("tokens")), "fine", "rest")
+    inner = parts.where("upto > rest").groupBy("source").agg(F.min(F.struct("fine", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("end"))
     none = F.lit(1 << BUCKET_BITS).cast("bigint")
-    return planned.join(ends, "source", "left").select(*planned.columns, F.coalesce("end.bucket", none).alias("cut"), F.coalesce("end.left", F.lit(0)).alias("left"))
+    planned = planned.join(ends.select("source", "cut"), "source", "left").join(inner, "source", "left")
+    return planned.select(*(c for c in planned.columns if c not in ("cut", "end")), F.coalesce("cut", none).alias("cut"), F.coalesce("end.fine", none).alias("fine_cut"), F.coalesce("end.left", F.lit(0)).alias("left"))
+
+
+def _prefix(sums: DataFrame, bucket: str, *more: str) -> DataFrame:
+    """Tokens up to and with each bucket of a source; one row per bucket."""
+    upto = Window.partitionBy("source").orderBy(bucket)
+    return sums.select("source", bucket, *more, F.sum("tokens").over(upto).alias("upto"), "tokens")
 
 
 def mixture(rows: DataFrame, planned: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents that are taken; copies counts the passes that hold the document."""
-    joined = rows.join(F.broadcast(planned.select("source", "passes", "cut", "left")), "source")
-    inside = joined.where("bucket <> cut").withColumn("copies", F.col("passes") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0))
+    joined = rows.join(F.broadcast(planned.select("source", "passes", "cut", "fine_cut", "left")), "source")
+    before = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (F.col("fine") < F.col("fine_cut")))
+    on_edge = (F.col("bucket") == F.col("cut")) & (F.col("fine") == F.col("fine_cut"))
+    inside = joined.where(~on_edge).withColumn("copies", F.col("passes") + F.when(before, 1).otherwise(0))
     so_far = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.where("bucket = cut").withColumn("copies", F.col("passes") + F.when(F.sum("n_tokens").over(so_far) <= F.col("left"), 1).otherwise(0))
+    edge = joined.where(on_edge).withColumn("copies", F.col("passes") + F.when(F.sum("n_tokens").over(so_far) <= F.col("left"), 1).otherwise(0))
     return inside.unionByName(edge).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
