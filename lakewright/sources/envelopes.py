@@ -9,14 +9,18 @@ from lakewright.functions.barrier import hold
 from lakewright.vocab import ENVELOPE_KEYS
 
 
+def looks_like_object(raw: str) -> Column:
+    """Whether a text begins and ends as a JSON object does."""
+    return F.col(raw).rlike(r"^\s*\{") & F.rtrim(raw, F.lit(" \t\r\n")).endswith("}")
+
+
 def parsed(df: DataFrame, raw: str, name: str = "envelope") -> DataFrame:
     """Adds the text ``raw`` as a variant where the whole of it is one JSON object; other rows are left out.
 
     The parser stops after the first value, so the text is read as the only element of an array: anything that
     follows the object then breaks the array, or is a second element. Each text is parsed once.
     """
-    looks = F.col(raw).rlike(r"^\s*\{") & F.rtrim(raw, F.lit(" \t\r\n")).endswith("}")
-    one = hold(df.where(looks), F.expr(f"try_parse_json(concat('[', `{raw}`, ']'))").alias("_array"))
+    one = hold(df.where(looks_like_object(raw)), F.expr(f"try_parse_json(concat('[', `{raw}`, ']'))").alias("_array"))
     one = hold(one, F.expr("try_variant_get(_array, '$[0]', 'variant')").alias(name), F.expr("is_variant_null(coalesce(try_variant_get(_array, '$[1]', 'variant'), parse_json('null')))").alias("_alone"))
     return one.where(F.col(name).isNotNull() & F.col("_alone")).drop("_array", "_alone")
 

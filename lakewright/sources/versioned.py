@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Turns a commit takes against other writers before it gives up.
+ATTEMPTS = 20
+
+
 class ConflictError(RuntimeError):
     """Another writer committed first, again and again."""
 
@@ -72,14 +76,14 @@ class Manifest:
             raise
         return True
 
-    def commit(self, change: Callable[[dict], dict], attempts: int = 5) -> int:
+    def commit(self, change: Callable[[dict], dict], attempts: int = ATTEMPTS) -> int:
         """Apply ``change`` to the current state and store the result as the next version."""
         for turn in range(attempts):
             found = self.versions()
             version = found[-1] + 1 if found else 0
             if self.put(version, change(self.read(found[-1]) if found else {})):
                 return version
-            time.sleep(0.05 * 2**turn)
+            time.sleep(0.05 * min(turn, 10))
         raise ConflictError(f"{self.log}: {attempts} attempts lost")
 
 
@@ -156,7 +160,7 @@ class VersionedTable:
             done.append(True)
             return {
                 "schema": self._merged(old, schema, evolve=evolve).jsonValue(), "files": [*now.get("files", []), name], "applied": applied,
-                "info": self._info("append", added=1),
+                "info": self._info("append", added=1) | {"files": [name]},
             }
 
         self.manifest.commit(change)
@@ -183,56 +187,91 @@ class VersionedTable:
         """Remove the rows that match."""
         return self._rewrite("delete", where, None)
 
-    def _rewrite(self, kind: str, where: Column, values: dict[str, Column] | None) -> int:
-        for turn in range(5):
+    def _rewrite(self, kind: str, where: Column | None, values: dict[str, Column] | None, keys: DataFrame | None = None) -> int:
+        """Rewrite the files that hold matching rows: of ``where``, and, with ``keys``, of those whose key columns occur there."""
+        for turn in range(ATTEMPTS):
             version = self.version()
             state, schema = self.state(version), self.schema(version)
-            touched, total = [], 0
-            for name in state["files"]:
-                n = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(where).count()
-                total += n
-                touched += [name] if n else []
+            if not state["files"]:
+                return 0
+            match = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+            rows = self.read(version)
+            if keys is not None:
+                on = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns]
+                rows = rows.withColumn("_file", F.col("_metadata.file_path")).alias("r").join(keys.distinct().withColumn("_hit", F.lit(True)).alias("k"), on, "left").select("r.*", "k._hit")
+                match = match & F.coalesce("_hit", F.lit(False))
+            else:
+                rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+            folder = F.regexp_extract("_file", "/(data/[0-9a-f]{32})/", 1)
+            hits = {r.f: r.n for r in rows.where(match).groupBy(folder.alias("f")).agg(F.count("*").alias("n")).collect()}  # one row per folder
+            touched, total = [x for x in state["files"] if x in hits], sum(hits.values())
             if not touched:
                 return 0
-            rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in touched])
-            match = F.coalesce(where, F.lit(False))
+            rows = rows.where(folder.isin(*touched))
             if values is None:
-                changed = rows.where(~match)
+                changed = rows.where(~match).select(*schema.fieldNames())
             else:
-                changed = rows.select(*(F.when(match, values[c].cast(schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns))
+                changed = rows.select(*(F.when(match, values[c].cast(schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in schema.fieldNames()))
             name = self._write(changed)
             new = state | {"files": [*(x for x in state["files"] if x not in touched), name], "info": self._info(kind, added=1, removed=len(touched), rows=total)}
             if self.manifest.put(version + 1, new):
                 return total
-            time.sleep(0.05 * 2**turn)
+            time.sleep(0.05 * min(turn, 10))
         raise ConflictError(self.path)
 
+    def update_matching(self, keys: DataFrame, values: dict[str, Column], where: Column | None = None) -> int:
+        """Set columns of the rows whose key columns, those of ``keys``, occur in it, and that match ``where``. Returns the number of rows."""
+        return self._rewrite("update", where, values, keys)
+
     def merge_missing(self, df: DataFrame, keys: list[str]) -> int:
-        """Insert rows of ``df`` whose keys the table has not; NULL keys compare equal. Returns the number inserted."""
-        if not self.exists():
+        """Insert rows of ``df`` whose keys the table has not; NULL keys compare equal. Returns the number inserted.
+
+        The commit holds only for the version that was compared with: of two writers with the same key one inserts it.
+        """
+        for turn in range(ATTEMPTS):
+            found = self.manifest.versions()
+            now = self.manifest.read(found[-1]) if found else {}
             new = df.dropDuplicates(keys)
-        else:
-            on = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-            new = df.dropDuplicates(keys).alias("n").join(self.read().alias("o"), on, "left_anti")
-        n = new.count()
-        if n:
-            self.append(new)
-        return n
+            if now:
+                on = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+                new = new.alias("n").join(self.read(found[-1]).alias("o"), on, "left_anti")
+            name = self._write(new)
+            n = self.spark.read.schema(new.schema).parquet(f"{self.path}/{name}").count()
+            if not n and now:
+                return 0
+            schema = self._merged(T.StructType.fromJson(now["schema"]) if now else None, df.schema, evolve=False).jsonValue()
+            state = {"schema": schema, "files": [*now.get("files", []), name], "applied": now.get("applied", {}), "info": self._info("append", added=1) | {"files": [name]}}
+            if self.manifest.put(found[-1] + 1 if found else 0, state):
+                return n
+            time.sleep(0.05 * min(turn, 10))
+        raise ConflictError(self.path)
 
     # -- upkeep
 
-    def compact(self, files: int = 1) -> None:
-        """Rewrite the snapshot into ``files`` files per folder; no row changes."""
-        version = self.version()
-        state = self.state(version)
-        name = self._write(self.read(version).coalesce(files))
-        if not self.manifest.put(version + 1, state | {"files": [name], "info": self._info("compact", added=1, removed=len(state["files"]))}):
-            raise ConflictError(self.path)
+    def size(self, version: int | None = None) -> int:
+        """Bytes of the files of a version."""
+        fs, path = self.manifest._fs, self.manifest._path
+        return sum(fs.getContentSummary(path(f"{self.path}/{x}")).getLength() for x in self.state(version)["files"])
+
+    def compact(self, files: int | None = None, *, bytes_per_file: int = 512_000_000) -> None:
+        """Rewrite the snapshot into one folder of ``files`` files, by default as many as its size needs; no row changes. Made anew if another writer commits first."""
+        for turn in range(ATTEMPTS):
+            version = self.version()
+            state = self.state(version)
+            number = files or max(1, -(-self.size(version) // bytes_per_file))
+            name = self._write(self.read(version).repartition(number) if number > 1 else self.read(version).coalesce(1))
+            if self.manifest.put(version + 1, state | {"files": [name], "info": self._info("compact", added=1, removed=len(state["files"]))}):
+                return
+            time.sleep(0.05 * min(turn, 10))
+        raise ConflictError(self.path)
 
-    def vacuum(self, keep_versions: int = 1) -> list[str]:
-        """Delete data folders that none of the newest ``keep_versions`` versions uses, and the older versions' files."""
+    def vacuum(self, keep_versions: int = 1, *, retain_seconds: float = 0.0) -> list[str]:
+        """Delete data folders that none of the kept versions uses, and the other versions' files. Kept are the newest ``keep_versions`` and all younger than ``retain_seconds``."""
         found = self.manifest.versions()
-        kept, old = found[-keep_versions:], found[:-keep_versions]
+        young = time.time() - retain_seconds
+        first = next((k for k, v in enumerate(found) if retain_seconds and self.manifest.read(v)["info"]["at"] >= young), len(found))
+        first = min(first, max(0, len(found) - keep_versions))
+        kept, old = found[first:], found[:first]
         used = {x for v in kept for x in self.manifest.read(v)["files"]}
         gone = sorted({x for v in old for x in self.manifest.read(v)["files"]} - used)
         fs, path = self.manifest._fs, self.manifest._path
