@@ -403,6 +403,126 @@ def stream_to_layers(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def stream_all_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned rows streamed over two tables of sources into standardized, held and business rows and a refreshed aggregate, then counted."""
+    from lakewright.session import fresh_path
+    from lakewright.sources.versioned import VersionedTable
+    from lakewright.streaming import layers
+
+    root = fresh_path(spark, "layers")
+    t = lambda name: VersionedTable(spark, f"{root}/{name}")
+    rows, ref = table(spark, d, "silver1_crashes"), table(spark, d, "ref_canonical_mappings")
+    days = table(spark, d, "source_profiles").select("table_name", (F.col("date_order") == "DMY").alias("day_first"))
+    ordered = lambda batch: batch.join(days, "table_name", "left").withColumn("day_first", F.coalesce("day_first", F.lit(False)))
+    group = F.coalesce(F.pmod(F.xxhash64("table_name"), F.lit(2)), F.lit(0))
+    starts = []
+    for k in (0, 1):
+        t(f"clean{k}").append(rows.where((group == k) & (F.hour("kafka_timestamp") < 12)))
+        t(f"clean{k}").compact()  # no append: the stream passes it over
+        t(f"clean{k}").append(rows.where((group == k) & ~F.coalesce(F.hour("kafka_timestamp") < 12, F.lit(False))))
+        handle = layers.to_standardized(t(f"valid{k}"), t("held"), t("audit"), t("dead"), lambda: ref, ordered, f"clean{k}")
+        starts.append(lambda k=k, handle=handle: layers.follow(spark, [t(f"clean{k}")], handle, f"{root}/check-clean{k}", f"clean{k}-{root[-8:]}"))
+    starts.append(lambda: layers.follow(spark, [t("valid0"), t("valid1")], layers.to_business(t("business")), f"{root}/check-business", f"business-{root[-8:]}"))
+    starts.append(lambda: layers.follow(spark, [t("business")], layers.refresh(t("business"), {"daily": t("daily")}, {"daily": gold.daily}), f"{root}/check-daily", f"daily-{root[-8:]}"))
+    layers.run_layers(starts)
+    count = lambda df, layer, source: df.groupBy(F.col(source).alias("source")).agg(F.lit(layer).alias("layer"), F.count("*").alias("records"))
+    valid = t("valid0").read().unionByName(t("valid1").read())
+    daily = t("daily").read().agg(F.lit(None).cast("string").alias("source"), F.lit("daily").alias("layer"), F.coalesce(F.sum("crashes"), F.lit(0)).alias("records"))
+    parts = [count(valid, "valid", "table_name"), count(t("held").read(), "held", "table_name"), count(t("audit").read(), "audit", "table_name"), count(t("business").read(), "business", "source_table"), daily]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def replay_released(spark: SparkSession, d: str) -> DataFrame:
+    """Records held while only the seed spellings were known, and what becomes of them when they are replayed, twice, with all spellings."""
+    from lakewright.session import fresh_path
+    from lakewright.sources.versioned import VersionedTable
+
+    root = fresh_path(spark, "replay")
+    valid, held, audit = (VersionedTable(spark, f"{root}/{x}") for x in ("valid", "held", "audit"))
+    ref = table(spark, d, "ref_canonical_mappings")
+    seeds = ref.where("added_by = 'seed'")
+    done = stage(standardize.standardize(_ordered(spark, d), standardize.mapping_dict(seeds), standardize.anchors(seeds), day_first=F.col("day_first")), "replay-first")
+    good, bad = standardize.route(done)
+    valid.append(good)
+    held.append(bad.drop("fuzzy_audit").withColumn("healing_status", F.lit("PENDING")))
+    for _ in range(2):  # the second finds nothing to do
+        replay.replay_quarantine(held, valid, ref, day_first=F.col("day_first"), audit=audit, apply=True)
+    n = F.count_distinct("record_id").alias("records")
+    states = held.read().groupBy("table_name", F.col("healing_status").alias("state")).agg(n)
+    return states.unionByName(valid.read().groupBy("table_name").agg(F.lit("VALID").alias("state"), n))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Run events of the batches, as JSON lines: each batch of a source starts and completes a run of every layer, the side tables one run each."""
+    batches = table(spark, d, "silver1_crashes").select(F.lower("table_name").alias("s"), "batch_id").where("s is not null").distinct()
+    field = lambda names: F.array(*(F.struct(F.lit(c).alias("name"), F.lit("string").alias("type")) for c in names))
+    data = lambda name, names=None: F.struct(F.lit("file").alias("namespace"), F.concat(F.lit("/data/"), name).alias("name"), F.struct(F.struct(field(names).alias("fields")).alias("schema")).alias("facets"))
+    name = lambda layer: F.concat(F.lit(f"{layer}_"), "s")
+    run = lambda a, outs: F.struct(F.array(F.struct(F.lit("file").alias("namespace"), F.concat(F.lit("/data/"), a).alias("name"))).alias("inputs"), F.array(*outs).alias("outputs"))
+    kept = [c for c in CRASH_COLUMNS if c in GOLD_COLUMNS]
+    hops = F.array(
+        run(name("bronze"), [data(name("silver1"), CRASH_COLUMNS)]), run(name("silver1"), [data(name("silver2"), CRASH_COLUMNS), data(F.lit("silver2_quarantine"), ["record_id"])]), run(name("silver2"), [data(F.lit("gold"), kept)]),
+        run(F.lit("gold"), [data(F.lit("gold_daily_summary"), ["crash_date"])]),
+    )
+    runs = batches.select("s", "batch_id", F.posexplode(hops).alias("hop", "r")).select("*", F.explode(F.array(F.lit("START"), F.lit("COMPLETE"), F.lit("NOISE"))).alias("eventType"))
+    run_id = F.concat_ws("-", "s", F.col("batch_id").cast("string"), F.col("hop").cast("string"))
+    event = F.struct("eventType", F.concat(F.lit("2024-01-01T00:00:0"), F.col("hop").cast("string")).alias("eventTime"), F.struct(F.lit("n").alias("namespace"), run_id.alias("name")).alias("job"), F.struct(run_id.alias("runId")).alias("run"), "r.inputs", "r.outputs")
+    return runs.select(F.to_json(event).alias("value"))
+
+
+GOLD_COLUMNS = (
+    "crash_record_id", "crash_date", "crash_hour", "crash_day_of_week", "crash_month", "weather_condition", "lighting_condition", "roadway_surface_cond", "prim_contributory_cause", "posted_speed_limit", "beat_of_occurrence", "latitude", "longitude",
+    "num_units", "injuries_total", "injuries_fatal", "hit_and_run_i", "damage", "street_name", "street_direction",
+)
+
+
+def lineage_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by job and last status, from the events; unknown statuses are left out."""
+    return lineage.runs(lineage.read_events(_events(spark, d))).groupBy("job", "status").agg(F.count("*").alias("runs"))
+
+
+def lineage_from_events(spark: SparkSession, d: str) -> DataFrame:
+    """Everything upstream of each table, by the events."""
+    return lineage.upstream(lineage.closure(lineage.feeds(lineage.read_events(_events(spark, d)))))
+
+
+def failure_impact_events(spark: SparkSession, d: str) -> DataFrame:
+    """Impact of the reported failures by the lineage of the events, with propagation by column."""
+    events = stage(lineage.read_events(_events(spark, d)), "lineage-events")
+    rows = failures.delivered_once(table(spark, d, "structured_failures"))
+    scored = lineage.impact_by_lineage(rows, lineage.feeds(events), lineage.schema_versions(events))
+    return scored.select("failure_id", "origin_table", "lineage_known", "reach", "blocked", "propagation", "score", "tier")
+
+
+def clean_all(spark: SparkSession, d: str) -> DataFrame:
+    """All 49 crash columns of every readable message, cleaned; a value that is an object is JSON text with its keys in order."""
+    return clean.clean(clean.unpack(table(spark, d, "bronze_crashes"), POSITION)).select(*POSITION, *CRASH_COLUMNS)
+
+
+def failure_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Failures by folder and type, whatever types there are."""
+    return table(spark, d, "structured_failures").groupBy("folder", "failure_type").agg(F.count("*").alias("failures"), F.sum("rows_affected").alias("rows_affected"))
+
+
+def failure_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 failures with the greatest impact, ties by the rows affected and then by id: a top-k report."""
+    rows = failures.delivered_once(table(spark, d, "structured_failures")).select("failure_id", F.coalesce("rows_affected", F.lit(-1)).alias("affected"))
+    order = [F.col("score").desc(), F.col("affected").desc(), F.col("failure_id")]
+    ranked = failure_impact(spark, d).join(rows, "failure_id").orderBy(*order).limit(20)
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "failure_id", "score", "affected", "tier")
+
+
+def map_lookup_all(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of every mapped column with the canonical value they stand for, NULL where there is none."""
+    fields = [c for c in CRASH_COLUMNS if c in MAPPED]
+    pairs = F.array(*(F.struct(F.lit(c).alias("field_name"), F.upper(F.trim(c)).alias("spelling")) for c in fields))
+    seen = table(spark, d, "silver1_crashes").select(F.inline(pairs)).groupBy("field_name", "spelling").agg(F.count("*").alias("records"))
+    return seen.join(mapping_latest(spark, d), ["field_name", "spelling"], "left").select("field_name", "spelling", "records", "canonical_value")
+
+
+MAPPED = (*standardize.FUZZY, "damage", "hit_and_run_i")
+
+
 # -- SQL
 
 _TOP = "json_valid(raw_value) AND json_type(raw_value) = 'OBJECT'"
@@ -600,7 +720,65 @@ ORACLE = {
     "scalar_functions": r"SELECT c_custkey, upper(trim(c_name)) AS upper_name, CAST(length(c_name) AS INT) AS letters, CAST(strpos(c_name, '1') AS INT) AS at, concat_ws('|', c_mktsegment, c_name) AS joined, left(sha256(c_name), 16) AS hash, TRY_CAST(regexp_extract(c_name, '(\d+)', 1) AS INT) AS number, round(greatest(c_acctbal, 0.0), 2) AS balance, nullif(c_mktsegment, 'BUILDING') AS segment, starts_with(c_name, 'Customer#0000') AS begins FROM customer",
 }
 
+_CLEAN_ALL = {c: (lambda t, c=c: f"lower({t})" if c in clean.LOWER else _title(t) if c in clean.TITLE else f"upper({t})" if c in clean.UPPER else t)("trim(x)") for c in CRASH_COLUMNS}
+
+
+def _json_text(c: str) -> str:
+    """A field's text; objects with their keys in order, as the reader of messages gives them."""
+    o = f"json_extract(p, '$.{c}')"
+    keys = f"list_transform(list_sort(json_keys({o})), lambda k: '\"' || k || '\":' || CAST(json_extract({o}, '$.' || k) AS VARCHAR))"
+    return f"CASE WHEN json_type(p, '$.{c}') = 'OBJECT' THEN '{{' || array_to_string({keys}, ',') || '}}' ELSE json_extract_string(p, '$.{c}') END"
+
+
+_SEEDS = "(SELECT * FROM ref_canonical_mappings WHERE added_by = 'seed')"
+_RUNS = """
+b AS (SELECT DISTINCT lower(table_name) AS s, batch_id FROM silver1_crashes WHERE table_name IS NOT NULL),
+names AS (SELECT DISTINCT s FROM b),
+edges AS (SELECT 'bronze_' || s AS from_table, 'silver1_' || s AS to_table FROM names UNION SELECT 'silver1_' || s, 'silver2_' || s FROM names UNION SELECT 'silver1_' || s, 'silver2_quarantine' FROM names
+  UNION SELECT 'silver2_' || s, 'gold' FROM names UNION SELECT 'gold', 'gold_daily_summary' FROM names),
+reach AS (SELECT from_table, to_table, 1 AS depth FROM edges UNION ALL SELECT r.from_table, e.to_table, r.depth + 1 FROM reach r JOIN edges e ON r.to_table = e.from_table),
+closed AS (SELECT from_table, to_table, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY ALL)
+"""
+_HELD = "(" + ", ".join(f"'{c}'" for c in GOLD_COLUMNS) + ")"
+_ALL_COLUMNS = "(" + ", ".join(f"'{c}'" for c in CRASH_COLUMNS) + ")"
+_IMPACT_EVENTS = f"""
+WITH RECURSIVE {_RUNS},
+u AS (SELECT *, row_number() OVER (PARTITION BY failure_id) AS n FROM structured_failures),
+f AS (SELECT u.*, (origin_layer || '_' || lower(folder)) IN (SELECT from_table FROM edges UNION SELECT to_table FROM edges) AS lineage_known FROM u WHERE n = 1),
+g AS (SELECT *, CASE WHEN lineage_known THEN origin_layer || '_' || lower(folder) ELSE origin_layer END AS origin_table FROM f),
+w AS (SELECT from_table AS origin_table, sum({_WEIGHT.format(t="to_table")}) AS down FROM closed GROUP BY 1),
+k AS (SELECT origin_table, count(*) AS there FROM g GROUP BY 1),
+o AS (SELECT from_table AS origin_table, sum(there) AS blocked FROM closed JOIN k ON k.origin_table = closed.to_table GROUP BY 1),
+x AS (SELECT g.*, COALESCE(w.down, 0) + CASE WHEN origin_affected THEN {_WEIGHT.format(t="g.origin_table")} ELSE 0 END AS reach, CAST(COALESCE(o.blocked, 0) AS BIGINT) AS blocked,
+  CASE WHEN failure_type = 'SCHEMA_MISMATCH' OR origin_affected OR column_name IS NULL THEN 1.0 WHEN g.origin_table LIKE 'bronze%' OR g.origin_table LIKE 'silver1%' THEN CASE WHEN column_name IN {_ALL_COLUMNS} THEN 1.0 ELSE 0.0 END
+  WHEN g.origin_table LIKE 'silver2%' THEN CASE WHEN column_name IN {_HELD} THEN 1.0 ELSE 0.0 END ELSE 0.5 END AS propagation FROM g LEFT JOIN w USING (origin_table) LEFT JOIN o USING (origin_table)),
+y AS (SELECT *, 30 * CASE WHEN origin_affected THEN 1.0 ELSE least(1.0, CASE failure_type WHEN 'SCHEMA_MISMATCH' THEN 1.0 WHEN 'UNRESOLVED_VALUE' THEN 0.4 ELSE 0.6 END + CASE WHEN mandatory THEN 0.3 ELSE 0.0 END) END
+  + 25 * CASE WHEN reach > 0 THEN CAST(reach AS DOUBLE) / (CAST(reach AS DOUBLE) + 5) ELSE 0.0 END
+  + 20 * CASE WHEN rows_affected IS NULL THEN 0.5 WHEN rows_affected <= 0 THEN 0.0 ELSE least(1.0, log10(1 + rows_affected) / log10(10001)) END + 15 * propagation + 10 * (blocked / (blocked + 1.0)) AS total FROM x)
+SELECT failure_id, origin_table, lineage_known, CAST(reach AS DOUBLE) AS reach, blocked, CAST(propagation AS DOUBLE) AS propagation, CAST(round(total, 1) AS DOUBLE) AS score, CASE WHEN total >= 70 THEN 'P1' WHEN total >= 40 THEN 'P2' ELSE 'P3' END AS tier FROM y
+"""
+_VALID = "v AS (SELECT b.* FROM b WHERE n NOT IN (SELECT n FROM x))"
+ORACLE |= {
+    "clean_all": f"WITH e AS (SELECT topic, kafka_partition, kafka_offset, CASE WHEN json_type(raw_value, '$.payload') IS NULL THEN raw_value ELSE json_extract(raw_value, '$.payload') END AS p FROM bronze_crashes WHERE {_TOP}) SELECT topic, kafka_partition, kafka_offset, "
+    + ", ".join("nullif(" + _CLEAN_ALL[c].replace("(x)", f"({_json_text(c)})") + f", '') AS {c}" for c in CRASH_COLUMNS) + " FROM e",
+    "failure_counts": "SELECT folder, failure_type, count(*) AS failures, CAST(sum(rows_affected) AS BIGINT) AS rows_affected FROM structured_failures GROUP BY 1, 2",
+    "failure_rank": _IMPACT + "SELECT row_number() OVER (ORDER BY score DESC, affected DESC, failure_id) AS rank, failure_id, score, affected, tier FROM (SELECT i.*, COALESCE(f.rows_affected, -1) AS affected FROM i JOIN f USING (failure_id)) ORDER BY rank LIMIT 20",
+    "map_lookup_all": f"WITH {_LATEST}, v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field_name, upper(trim({c})) AS spelling, count(*) AS records FROM silver1_crashes GROUP BY ALL" for c in CRASH_COLUMNS if c in MAPPED)
+    + ") SELECT v.field_name, v.spelling, records, canonical_value FROM v LEFT JOIN latest l ON l.field_name = v.field_name AND l.spelling = v.spelling",
+    "lineage_runs": f"WITH RECURSIVE {_RUNS} SELECT job, 'COMPLETE' AS status, count(*) AS runs FROM (SELECT unnest(['write_silver1_' || s, 'write_silver2_' || (CASE WHEN s > 'quarantine' THEN 'quarantine' ELSE s END), 'write_gold', 'write_gold_daily_summary']) AS job FROM b) GROUP BY job",
+    "lineage_from_events": f'WITH RECURSIVE {_RUNS} SELECT to_table AS "table", from_table AS upstream, depth FROM closed',
+    "failure_impact_events": _IMPACT_EVENTS,
+    "stream_all_layers": _standard_sql() + f", {_VALID} SELECT table_name AS source, 'valid' AS layer, count(*) AS records FROM v GROUP BY 1 UNION ALL SELECT table_name, 'business', count(*) FROM v GROUP BY 1 "
+    f"UNION ALL SELECT table_name, 'held', count(*) FROM b WHERE n IN (SELECT n FROM x) GROUP BY 1 UNION ALL SELECT table_name, 'audit', CAST(sum({_FIXES}) AS BIGINT) FROM b GROUP BY 1 HAVING sum({_FIXES}) > 0 "
+    "UNION ALL SELECT NULL, 'daily', count(DISTINCT crash_record_id) + count(*) FILTER (crash_record_id IS NULL) FROM v WHERE COALESCE(crash_record_id, '') NOT LIKE 'FAULT-%'",
+    "replay_released": "WITH all_ids AS (SELECT DISTINCT table_name, record_id FROM silver1_crashes), held AS (SELECT DISTINCT table_name, record_id FROM (" + _standard_sql().replace("ref_canonical_mappings", _SEEDS) + " SELECT table_name, record_id FROM x)), "
+    "still AS (SELECT DISTINCT table_name, record_id FROM (" + _standard_sql() + " SELECT table_name, record_id FROM x)), h AS (SELECT held.*, still.record_id IS NULL AS released FROM held LEFT JOIN still USING (table_name, record_id)) "
+    "SELECT table_name, CASE WHEN released THEN 'RESOLVED' ELSE 'PENDING' END AS state, count(*) AS records FROM h GROUP BY 1, 2 "
+    "UNION ALL SELECT a.table_name, 'VALID', count(*) FROM all_ids a LEFT JOIN h USING (table_name, record_id) WHERE h.record_id IS NULL OR released GROUP BY 1",
+}
+
 NAMES = (
+    stream_all_layers, replay_released, lineage_runs, lineage_from_events, failure_impact_events, clean_all, failure_counts, failure_rank, map_lookup_all,
     clean_projection, union_sources_tagged, contract_guard, contract_signatures, dead_letter_groups, mapping_latest, map_lookup_exact, parse_dates, parse_numbers, parse_hours,
     edit_distance, fuzzy_canonical, fuzzy_audit, standardize_route_counts, columns_to_remediate, quarantine_failures, gold_projection, dedup_business_key, metric_daily,
     metric_conditions, metric_time_pattern, metric_causes, metric_areas, failures_once, failures_merged, column_set_jaccard, lineage_closure, failure_impact, failure_ranking,
