@@ -137,3 +137,55 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str, vector: str,
     pairs = reduce(DataFrame.unionByName, map(one, blocks))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), vec_id)
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+# -- reuse of past fixes
+
+BY_HAND = ("MANUAL", "DISMISS")
+
+
+def exact_hits(incidents: DataFrame) -> DataFrame:
+    """(table_name, column_name, signature, incident_id, fixes, borrowed): of verified successes per exact signature the newest, those that weren't borrowed first, and the distinct fixes.
+
+    incidents: incident_id, table_name, column_name, raw_value, action, action_params, outcome, verified, borrowed, resolved_at.
+    """
+    rows = incidents.where("verified and outcome = 'SUCCESS'").withColumn("signature", F.upper(F.trim("raw_value")))
+    keys = ["table_name", "column_name", "signature"]
+    fix = F.concat_ws(" ", "action", "action_params")
+    best = F.max_by(F.struct("incident_id", "action", "action_params", F.coalesce("borrowed", F.lit(False)).alias("borrowed")), F.struct(~F.coalesce("borrowed", F.lit(False)), "resolved_at", "incident_id"))
+    agg = rows.groupBy(*keys).agg(best.alias("b"), F.count_distinct(fix).alias("fixes"))
+    return agg.select(*keys, "b.*", "fixes")
+
+
+def decide(failures: DataFrame, candidates: DataFrame, incidents: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """(signature_id, incident_id, score, matched_by, reusable, reason): whether a past fix may be used again for each failure.
+
+    failures: signature_id, failure_type, table_name, column_name, raw_value, trusted; candidates: similar()'s (signature_id, incident_id, score);
+    incidents as in exact_hits(), where other outcomes than SUCCESS are attempts that failed. An exact signature scores 1. A fix made by hand, one of several
+    that disagree, one that failed before for the same signature, and for a merely similar value any fix, are not used again; nor is any for an untrusted failure.
+    """
+    schema = F.coalesce(family(F.col("failure_type")) == "SCHEMA", F.lit(False))
+    own = failures.withColumn("signature", F.upper(F.trim("raw_value")))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("table_name", "column_name", "signature")))
+    exact = own.alias("f").join(exact_hits(incidents).alias("x"), same("f", "x")).select("f.signature_id", "x.incident_id", F.lit(1.0).alias("score"), F.lit("EXACT").alias("matched_by"), "x.fixes")
+    known = incidents.where("verified and outcome = 'SUCCESS'").select("incident_id").distinct()
+    others = candidates.join(known, "incident_id", "left_semi").select("signature_id", "incident_id", "score", F.lit("STRUCTURED").alias("matched_by"), F.lit(1).cast("bigint").alias("fixes"))
+    rank = Window.partitionBy("signature_id").orderBy(F.col("score").desc(), F.col("matched_by"), "incident_id")
+    best = exact.unionByName(others).withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n")
+    told = incidents.select("incident_id", "action", "action_params", F.col("column_name").alias("i_column"), F.col("raw_value").alias("i_value")).dropDuplicates(["incident_id"])
+    failed = incidents.where("coalesce(outcome, '') <> 'SUCCESS'").select("table_name", "column_name", F.upper(F.trim("raw_value")).alias("signature"), "action", "action_params").distinct().withColumn("_failed", F.lit(True))
+    rows = own.join(best, "signature_id", "left").join(told, "incident_id", "left")
+    on = same("r", "a") & F.col("r.action").eqNullSafe(F.col("a.action")) & F.col("r.action_params").eqNullSafe(F.col("a.action_params"))
+    rows = rows.alias("r").join(failed.alias("a"), on, "left").select("r.*", "a._failed")
+    plain = lambda c: F.regexp_replace(F.upper(F.trim(c)), r"[^A-Z0-9]+", " ")
+    is_exact = F.col("matched_by") == "EXACT"
+    alike = (F.col("column_name").eqNullSafe(F.col("i_column"))) & (plain("raw_value") == plain("i_value"))
+    against = (
+        F.when(F.col("action").isin(*BY_HAND), "fixed by hand").when(is_exact & (F.col("fixes") > 1), "past fixes disagree").when(F.col("_failed"), "this fix failed before")
+        .when(~is_exact & schema & (F.col("score") < 1.0), "different column sets").when(~is_exact & ~schema & ~alike, "similar value only")
+    )
+    reason = (
+        F.when(~F.coalesce("trusted", F.lit(False)), "classification needs review").when(F.col("incident_id").isNull(), "no verified incident")
+        .when(F.col("score") < threshold, "below threshold").when(against.isNotNull(), against).when(is_exact, "exact signature").otherwise("same after normalisation")
+    )
+    return rows.withColumn("reason", reason).select("signature_id", "incident_id", "score", "matched_by", F.col("reason").isin("exact signature", "same after normalisation").alias("reusable"), "reason")

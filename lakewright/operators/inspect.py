@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -106,3 +106,13 @@ def spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.max("n").alias("n"), F.round((low + high) / 2, 1).alias("median"), F.round(at(F.bround(F.lit(0.9) * (F.col("n") - 1), 0)), 1).alias("p90"),
         F.round(F.max("v"), 1).alias("max"), F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 1).alias("mean"),
     )
+
+
+def sql_over(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """SQL over DataFrames given by name as ``{name}``; no view outlives it, so that concurrent batches don't see each other's."""
+    return spark.sql(text, **frames)
+
+
+def backfill(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Columns that are NULL or missing take a derived value; what is there stays."""
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in values.items()})

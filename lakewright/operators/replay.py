@@ -138,3 +138,38 @@ def replay_dead_letter(
     values = {"healing_status": F.lit(REPLAYED), "replayed_by": F.lit(report["replay_id"]), "replayed_at": F.current_timestamp()}
     report["marked"] = parked.update_matching(keys, values, F.col("healing_status").isin(*WAITING))
     return report | {"applied": True}
+
+
+def checks(
+    staged: DataFrame, rows: DataFrame, valid: DataFrame, *, execution_id: str, column: str, raw_value: str, canonical: str,
+    canonical_values: Sequence[str], existing: str | None = None, released_before: bool = False,
+) -> DataFrame:
+    """(check_name, problems, passed): what speaks against releasing the staged records after one spelling was added.
+
+    staged: (record_id); rows: what the replay gave, (record_id, healing_status, resolved_by, before array of columns, after map of columns,
+    value of the column, crash_date as a day); valid: (record_id) of the records that are valid already. A repeated record is judged by rows_conserved only.
+    """
+    status = F.coalesce("healing_status", F.lit("PENDING"))
+    mine = (status == RESOLVED) & (F.coalesce("resolved_by", F.lit("")) == execution_id)
+    per = rows.groupBy("record_id").agg(
+        F.count("*").alias("n"), F.bool_and(mine).alias("mine"), F.max(~status.isin(*WAITING)).alias("over"), F.max(F.map_contains_key("after", F.lit(column))).alias("still"),
+        F.max(F.coalesce(F.upper(F.trim("value")) != canonical.strip().upper(), F.lit(True))).alias("other"),
+        F.max(F.size(F.array_except(F.map_keys("after"), F.concat(F.coalesce("before", F.array().cast("array<string>")), F.array(F.lit(column))))) > 0).alias("new"),
+        F.min("crash_date").alias("crash_date"),
+    ).withColumn("_replayed", F.lit(True))
+    ids = staged.select("record_id").distinct().withColumn("_staged", F.lit(True))
+    there = valid.select("record_id").distinct().withColumn("_valid", F.lit(True))
+    joined = ids.join(per, "record_id", "full").join(there, "record_id", "left")
+    single = F.col("_staged") & (F.col("n") == 1)
+    day = F.col("crash_date").try_cast("date")
+    derived = {"crash_month": F.upper(F.date_format(day, "MMMM")), "crash_day_of_week": F.upper(F.date_format(day, "EEEE"))}.get(column)
+    lost = F.col("_replayed").isNull() | F.col("_staged").isNull() | (F.col("n") > 1) | (~F.col("mine") & F.col("over")) | (F.lit(not released_before) & F.coalesce("_valid", F.lit(False)))
+    tests = {
+        "rows_conserved": lost, "targeted_resolved": single & (F.col("still") | F.col("other")), "no_new_failures": single & F.col("new"),
+        **({"agrees_with_crash_date": single & (derived != canonical)} if derived is not None else {}),
+    }
+    counted = joined.agg(*(F.count(F.when(wrong, 1)).alias(name) for name, wrong in tests.items()))
+    fixed = {"resolution": int(canonical not in canonical_values), "no_conflicting_mapping": int(existing not in (None, canonical))}
+    entries = [F.struct(F.lit(k).alias("check_name"), F.lit(v).cast("bigint").alias("problems")) for k, v in fixed.items()]
+    entries += [F.struct(F.lit(k).alias("check_name"), F.col(k).alias("problems")) for k in tests]
+    return counted.select(F.inline(F.array(*entries))).withColumn("passed", F.col("problems") == 0)

@@ -11,7 +11,7 @@ Defined results: NULL and blank input gives NULL and no failure, save for the ma
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +31,9 @@ DAY_FIRST = ("d/M/yyyy h:mm:ss a", "d/M/yyyy H:mm:ss", "d/M/yyyy", "dd-MM-yyyy")
 COMPACT = ("yyyyMMdd",)
 CLOCK = ("h a", "hh a", "HH:mm", "h:mm a", "hh:mm a", "HH.mm", "h.mm a", "hh.mm a")
 
+# The damage classes, which feeds deliver as they are.
+DAMAGE = ("OVER $1,500", "$501 - $1,500", "$500 OR LESS")
+
 # Limits of the guarded match.
 MIN_LENGTH, SHARE, MARGIN = 4, 0.25, 2
 SYNONYM_LETTERS, SYNONYM_DISTANCE, ANCHOR_LETTERS = 6, 1, 3
@@ -46,6 +49,12 @@ def latest_mappings(mappings: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("field_name", "spelling", "canonical_value")
 
 
+def with_spellings(mappings: DataFrame, field: str, values: Sequence[str]) -> DataFrame:
+    """The mapping table with values of a field that stand for themselves, as seed rows older than any other."""
+    rows = mappings.sparkSession.createDataFrame([(field, v, v, "seed") for v in values], "field_name string, raw_synonym string, canonical_value string, added_by string")
+    return mappings.unionByName(rows.withColumn("added_at", F.lit("1970-01-01").cast("timestamp")), allowMissingColumns=True)
+
+
 def overlay(base: Mapping[str, Mapping[str, str]], changes: Mapping[str, Mapping[str, str]]) -> dict[str, dict[str, str]]:
     """A copy of the mappings with further spellings; empty ones are ignored."""
     out = {field: dict(m) for field, m in base.items()}

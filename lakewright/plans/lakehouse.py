@@ -411,7 +411,7 @@ def stream_all_layers(spark: SparkSession, d: str) -> DataFrame:
 
     root = fresh_path(spark, "layers")
     t = lambda name: VersionedTable(spark, f"{root}/{name}")
-    rows, ref = table(spark, d, "silver1_crashes"), table(spark, d, "ref_canonical_mappings")
+    rows, ref = table(spark, d, "silver1_crashes"), standardize.with_spellings(table(spark, d, "ref_canonical_mappings"), "damage", standardize.DAMAGE)
     days = table(spark, d, "source_profiles").select("table_name", (F.col("date_order") == "DMY").alias("day_first"))
     ordered = lambda batch: batch.join(days, "table_name", "left").withColumn("day_first", F.coalesce("day_first", F.lit(False)))
     group = F.coalesce(F.pmod(F.xxhash64("table_name"), F.lit(2)), F.lit(0))
@@ -433,14 +433,14 @@ def stream_all_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_released(spark: SparkSession, d: str) -> DataFrame:
-    """Records held while only the seed spellings were known, and what becomes of them when they are replayed, twice, with all spellings."""
+    """Records held while only seed spellings and one damage class were known, and what becomes of them when they are replayed, twice, with all spellings."""
     from lakewright.session import fresh_path
     from lakewright.sources.versioned import VersionedTable
 
     root = fresh_path(spark, "replay")
     valid, held, audit = (VersionedTable(spark, f"{root}/{x}") for x in ("valid", "held", "audit"))
-    ref = table(spark, d, "ref_canonical_mappings")
-    seeds = ref.where("added_by = 'seed'")
+    known = table(spark, d, "ref_canonical_mappings")
+    ref, seeds = standardize.with_spellings(known, "damage", standardize.DAMAGE), standardize.with_spellings(known.where("added_by = 'seed'"), "damage", standardize.DAMAGE[:1])
     done = stage(standardize.standardize(_ordered(spark, d), standardize.mapping_dict(seeds), standardize.anchors(seeds), day_first=F.col("day_first")), "replay-first")
     good, bad = standardize.route(done)
     valid.append(good)
@@ -452,6 +452,21 @@ def replay_released(spark: SparkSession, d: str) -> DataFrame:
     return states.unionByName(valid.read().groupBy("table_name").agg(F.lit("VALID").alias("state"), n))
 
 
+def replay_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for and against one new spelling, JULE for JUNE: the records that hold it, standardized before and after."""
+    ref, rows = table(spark, d, "ref_canonical_mappings"), _ordered(spark, d).where("upper(trim(crash_month)) = 'JULE'")
+    known, of = standardize.mapping_dict(ref), standardize.anchors(ref)
+    run = lambda mappings: standardize.standardize(rows, mappings, of, day_first=F.col("day_first"))
+    before = stage(run(known), "checks-before").groupBy("record_id").agg(F.min(F.array_sort(F.map_keys("columns_to_remediate"))).alias("before"))
+    after = run(standardize.overlay(known, {"crash_month": {"JULE": "JUNE"}})).join(before, "record_id", "left")
+    shown = stage(after.select("record_id", F.lit("PENDING").alias("healing_status"), F.lit(None).cast("string").alias("resolved_by"), "before", F.col("columns_to_remediate").alias("after"), F.col("crash_month").alias("value"), "crash_date"), "checks-after")
+    values = sorted(set(known["crash_month"].values()))
+    return replay.checks(
+        rows.select("record_id"), shown, table(spark, d, "silver2_crashes"), execution_id="e", column="crash_month", raw_value="JULE", canonical="JUNE",
+        canonical_values=values, existing=known["crash_month"].get("JULE"),
+    )
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """Run events of the batches, as JSON lines: each batch of a source starts and completes a run of every layer, the side tables one run each."""
     batches = table(spark, d, "silver1_crashes").select(F.lower("table_name").alias("s"), "batch_id").where("s is not null").distinct()
@@ -730,7 +745,14 @@ def _json_text(c: str) -> str:
     return f"CASE WHEN json_type(p, '$.{c}') = 'OBJECT' THEN '{{' || array_to_string({keys}, ',') || '}}' ELSE json_extract_string(p, '$.{c}') END"
 
 
-_SEEDS = "(SELECT * FROM ref_canonical_mappings WHERE added_by = 'seed')"
+
+
+def _with_damage(sql: str, values: tuple[str, ...] = standardize.DAMAGE, where: str = "true") -> str:
+    """SQL over the mapping table with damage classes."""
+    more = "".join(f" UNION ALL SELECT 'damage', '{v}', '{v}', 'seed', TIMESTAMP '1970-01-01'" for v in values)
+    return sql.replace("ref_canonical_mappings", f"(SELECT field_name, raw_synonym, canonical_value, added_by, added_at FROM ref_canonical_mappings WHERE {where}{more})")
+
+
 _RUNS = """
 b AS (SELECT DISTINCT lower(table_name) AS s, batch_id FROM silver1_crashes WHERE table_name IS NOT NULL),
 names AS (SELECT DISTINCT s FROM b),
@@ -757,6 +779,19 @@ y AS (SELECT *, 30 * CASE WHEN origin_affected THEN 1.0 ELSE least(1.0, CASE fai
   + 20 * CASE WHEN rows_affected IS NULL THEN 0.5 WHEN rows_affected <= 0 THEN 0.0 ELSE least(1.0, log10(1 + rows_affected) / log10(10001)) END + 15 * propagation + 10 * (blocked / (blocked + 1.0)) AS total FROM x)
 SELECT failure_id, origin_table, lineage_known, CAST(reach AS DOUBLE) AS reach, blocked, CAST(propagation AS DOUBLE) AS propagation, CAST(round(total, 1) AS DOUBLE) AS score, CASE WHEN total >= 70 THEN 'P1' WHEN total >= 40 THEN 'P2' ELSE 'P3' END AS tier FROM y
 """
+def _checks_sql() -> str:
+    date_ = f"CASE WHEN date_order = 'DMY' THEN {_strptime([*_ISO, *_DMY, '%Y%m%d'])} ELSE {_strptime([*_ISO, *_MDY, *_DMY, '%Y%m%d'])} END"
+    return f"""
+    WITH r AS (SELECT record_id, ({date_}) AS day FROM silver1_crashes LEFT JOIN source_profiles USING (table_name) WHERE upper(trim(crash_month)) = 'JULE'),
+    p AS (SELECT record_id, count(*) AS n, min(day) AS day FROM r GROUP BY 1)
+    SELECT check_name, CAST(problems AS BIGINT) AS problems, problems = 0 AS passed FROM (
+    SELECT 'resolution' AS check_name, CASE WHEN EXISTS (SELECT 1 FROM ref_canonical_mappings WHERE field_name = 'crash_month' AND canonical_value = 'JUNE') THEN 0 ELSE 1 END AS problems
+    UNION ALL SELECT 'no_conflicting_mapping', count(*) FROM ref_canonical_mappings WHERE field_name = 'crash_month' AND upper(trim(raw_synonym)) = 'JULE' AND canonical_value <> 'JUNE'
+    UNION ALL SELECT 'rows_conserved', count(*) FROM p WHERE n > 1 OR record_id IN (SELECT record_id FROM silver2_crashes)
+    UNION ALL SELECT 'targeted_resolved', 0 UNION ALL SELECT 'no_new_failures', 0
+    UNION ALL SELECT 'agrees_with_crash_date', count(*) FROM p WHERE n = 1 AND day IS NOT NULL AND month(day) <> 6)"""
+
+
 _VALID = "v AS (SELECT b.* FROM b WHERE n NOT IN (SELECT n FROM x))"
 ORACLE |= {
     "clean_all": f"WITH e AS (SELECT topic, kafka_partition, kafka_offset, CASE WHEN json_type(raw_value, '$.payload') IS NULL THEN raw_value ELSE json_extract(raw_value, '$.payload') END AS p FROM bronze_crashes WHERE {_TOP}) SELECT topic, kafka_partition, kafka_offset, "
@@ -768,17 +803,18 @@ ORACLE |= {
     "lineage_runs": f"WITH RECURSIVE {_RUNS} SELECT job, 'COMPLETE' AS status, count(*) AS runs FROM (SELECT unnest(['write_silver1_' || s, 'write_silver2_' || (CASE WHEN s > 'quarantine' THEN 'quarantine' ELSE s END), 'write_gold', 'write_gold_daily_summary']) AS job FROM b) GROUP BY job",
     "lineage_from_events": f'WITH RECURSIVE {_RUNS} SELECT to_table AS "table", from_table AS upstream, depth FROM closed',
     "failure_impact_events": _IMPACT_EVENTS,
-    "stream_all_layers": _standard_sql() + f", {_VALID} SELECT table_name AS source, 'valid' AS layer, count(*) AS records FROM v GROUP BY 1 UNION ALL SELECT table_name, 'business', count(*) FROM v GROUP BY 1 "
+    "replay_checks": _checks_sql(),
+    "stream_all_layers": _with_damage(_standard_sql()) + f", {_VALID} SELECT table_name AS source, 'valid' AS layer, count(*) AS records FROM v GROUP BY 1 UNION ALL SELECT table_name, 'business', count(*) FROM v GROUP BY 1 "
     f"UNION ALL SELECT table_name, 'held', count(*) FROM b WHERE n IN (SELECT n FROM x) GROUP BY 1 UNION ALL SELECT table_name, 'audit', CAST(sum({_FIXES}) AS BIGINT) FROM b GROUP BY 1 HAVING sum({_FIXES}) > 0 "
     "UNION ALL SELECT NULL, 'daily', count(DISTINCT crash_record_id) + count(*) FILTER (crash_record_id IS NULL) FROM v WHERE COALESCE(crash_record_id, '') NOT LIKE 'FAULT-%'",
-    "replay_released": "WITH all_ids AS (SELECT DISTINCT table_name, record_id FROM silver1_crashes), held AS (SELECT DISTINCT table_name, record_id FROM (" + _standard_sql().replace("ref_canonical_mappings", _SEEDS) + " SELECT table_name, record_id FROM x)), "
-    "still AS (SELECT DISTINCT table_name, record_id FROM (" + _standard_sql() + " SELECT table_name, record_id FROM x)), h AS (SELECT held.*, still.record_id IS NULL AS released FROM held LEFT JOIN still USING (table_name, record_id)) "
+    "replay_released": "WITH all_ids AS (SELECT DISTINCT table_name, record_id FROM silver1_crashes), held AS (SELECT DISTINCT table_name, record_id FROM (" + _with_damage(_standard_sql(), standardize.DAMAGE[:1], "added_by = 'seed'") + " SELECT table_name, record_id FROM x)), "
+    "still AS (SELECT DISTINCT table_name, record_id FROM (" + _with_damage(_standard_sql()) + " SELECT table_name, record_id FROM x)), h AS (SELECT held.*, still.record_id IS NULL AS released FROM held LEFT JOIN still USING (table_name, record_id)) "
     "SELECT table_name, CASE WHEN released THEN 'RESOLVED' ELSE 'PENDING' END AS state, count(*) AS records FROM h GROUP BY 1, 2 "
     "UNION ALL SELECT a.table_name, 'VALID', count(*) FROM all_ids a LEFT JOIN h USING (table_name, record_id) WHERE h.record_id IS NULL OR released GROUP BY 1",
 }
 
 NAMES = (
-    stream_all_layers, replay_released, lineage_runs, lineage_from_events, failure_impact_events, clean_all, failure_counts, failure_rank, map_lookup_all,
+    stream_all_layers, replay_released, replay_checks, lineage_runs, lineage_from_events, failure_impact_events, clean_all, failure_counts, failure_rank, map_lookup_all,
     clean_projection, union_sources_tagged, contract_guard, contract_signatures, dead_letter_groups, mapping_latest, map_lookup_exact, parse_dates, parse_numbers, parse_hours,
     edit_distance, fuzzy_canonical, fuzzy_audit, standardize_route_counts, columns_to_remediate, quarantine_failures, gold_projection, dedup_business_key, metric_daily,
     metric_conditions, metric_time_pattern, metric_causes, metric_areas, failures_once, failures_merged, column_set_jaccard, lineage_closure, failure_impact, failure_ranking,
