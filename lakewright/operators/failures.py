@@ -90,10 +90,12 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.alias("l").join(right.alias("r"), on, "left").select("l.*", *rest)
 
 
-def from_quarantine(quarantined: DataFrame, *, folder: str = "table_name", batch: str = "batch_id", mandatory: tuple[str, ...] = ("crash_date",)) -> DataFrame:
-    """Failures of quarantined rows by folder, column and value. Samples are the least of the batches' least record ids."""
+def from_quarantine(quarantined: DataFrame, *, folder: str = "table_name", batch: str = "batch_id", mandatory: tuple[str, ...] = ("crash_date",), every_id: bool = False) -> DataFrame:
+    """Failures of quarantined rows by folder, column and value. Samples are the least of the batches' least record ids, or, with ``every_id``, the least of all record ids."""
     keys = ["folder", "column_name", "raw_value"]
     long = quarantined.select(F.col(folder).alias("folder"), F.col(batch).alias("batch"), "record_id", F.explode("columns_to_remediate").alias("column_name", "value"))
     first = long.groupBy("folder", "column_name", F.upper(F.trim("value")).alias("raw_value"), "batch").agg(F.count("*").alias("n"), F.min("record_id").alias("sample"))
     sums = first.groupBy(*keys).agg(F.sum("n").alias("rows_affected"), F.count("*").alias("batches"), F.max(F.col("column_name").isin(*mandatory)).alias("mandatory"))
+    if every_id:
+        first = long.select("folder", "column_name", F.upper(F.trim("value")).alias("raw_value"), F.col("record_id").alias("sample"))
     return _null_safe(sums, least(first, keys, "sample", SAMPLES, "samples"), keys).select(*keys, "rows_affected", "batches", "samples", "mandatory")

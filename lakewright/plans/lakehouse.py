@@ -125,6 +125,20 @@ def quarantine_failures(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("samples", F.array_join("samples", ","))
 
 
+def quarantine_samples(spark: SparkSession, d: str) -> DataFrame:
+    """As quarantine_failures, with up to five record ids of each failure, however few its batches."""
+    rows = failures.from_quarantine(standardize.route(_standardized(spark, d))[1], every_id=True)
+    return rows.withColumn("samples", F.array_join("samples", ","))
+
+
+def union_any_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of every source there is, united with their source as a tag."""
+    rows = table(spark, d, "silver2_crashes")
+    names = sorted(r.s for r in rows.select(F.col("table_name").alias("s")).where("s is not null").distinct().limit(1_000).collect())  # sources are tables of their own
+    union = gold.union_sources({s: rows.where(F.col("table_name") == s) for s in names})
+    return union.groupBy("source_table").agg(F.count("*").alias("records"), F.count("dooring_i").alias("dooring"))
+
+
 # -- business rows and aggregates
 
 
@@ -794,6 +808,8 @@ def _checks_sql() -> str:
 
 _VALID = "v AS (SELECT b.* FROM b WHERE n NOT IN (SELECT n FROM x))"
 ORACLE |= {
+    "union_any_sources": "SELECT table_name AS source_table, count(*) AS records, count(dooring_i) AS dooring FROM silver2_crashes WHERE table_name IS NOT NULL GROUP BY 1",
+    "quarantine_samples": _standard_sql() + ", p AS (SELECT table_name AS folder, column_name, upper(trim(value)) AS raw_value, batch_id, record_id FROM x) SELECT folder, column_name, raw_value, count(*) AS rows_affected, count(DISTINCT batch_id) AS batches, array_to_string(list_sort(list(DISTINCT record_id))[1:5], ',') AS samples, column_name = 'crash_date' AS mandatory FROM p GROUP BY 1, 2, 3",
     "clean_all": f"WITH e AS (SELECT topic, kafka_partition, kafka_offset, CASE WHEN json_type(raw_value, '$.payload') IS NULL THEN raw_value ELSE json_extract(raw_value, '$.payload') END AS p FROM bronze_crashes WHERE {_TOP}) SELECT topic, kafka_partition, kafka_offset, "
     + ", ".join("nullif(" + _CLEAN_ALL[c].replace("(x)", f"({_json_text(c)})") + f", '') AS {c}" for c in CRASH_COLUMNS) + " FROM e",
     "failure_counts": "SELECT folder, failure_type, count(*) AS failures, CAST(sum(rows_affected) AS BIGINT) AS rows_affected FROM structured_failures GROUP BY 1, 2",
@@ -814,7 +830,7 @@ ORACLE |= {
 }
 
 NAMES = (
-    stream_all_layers, replay_released, replay_checks, lineage_runs, lineage_from_events, failure_impact_events, clean_all, failure_counts, failure_rank, map_lookup_all,
+    quarantine_samples, union_any_sources, stream_all_layers, replay_released, replay_checks, lineage_runs, lineage_from_events, failure_impact_events, clean_all, failure_counts, failure_rank, map_lookup_all,
     clean_projection, union_sources_tagged, contract_guard, contract_signatures, dead_letter_groups, mapping_latest, map_lookup_exact, parse_dates, parse_numbers, parse_hours,
     edit_distance, fuzzy_canonical, fuzzy_audit, standardize_route_counts, columns_to_remediate, quarantine_failures, gold_projection, dedup_business_key, metric_daily,
     metric_conditions, metric_time_pattern, metric_causes, metric_areas, failures_once, failures_merged, column_set_jaccard, lineage_closure, failure_impact, failure_ranking,

@@ -34,10 +34,12 @@ def get_session(app: str = "lakewright", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a folder of this machine stands in.
+    Only where that is unset on a local master, as in tests, a folder of this machine stands in; a cluster without it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"lakewright-{os.getuid()}")
     return root.rstrip("/")
 
