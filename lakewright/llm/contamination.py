@@ -32,6 +32,8 @@ WINDOW = 15
 SHARD_CHARS = 8_000_000
 #: Phrases per block of the query set; each block is one pass over the documents.
 BLOCK_PHRASES = 2_000_000
+#: Characters of all items together; the query set is held by the driver and sent to the workers, so a larger one is refused and has to be given in parts.
+MAX_ITEM_CHARS = 1_000_000_000
 #: Every suffix position that is a multiple of this is kept for locating.
 SAMPLE = 16
 
@@ -287,6 +289,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
     The items are read to the driver in blocks of a bounded number of words; the documents are read once per block.
     """
+    if (items.agg(F.sum(F.char_length(item_text))).first()[0] or 0) > MAX_ITEM_CHARS:
+        raise ValueError(f"items of more than {MAX_ITEM_CHARS} characters: give them in parts")
     rows = [(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator()]
     blocks, size = [[]], 0
     for row in rows:
