@@ -820,6 +820,8 @@ ORACLE |= {
     "lineage_from_events": f'WITH RECURSIVE {_RUNS} SELECT to_table AS "table", from_table AS upstream, depth FROM closed',
     "failure_impact_events": _IMPACT_EVENTS,
     "replay_checks": _checks_sql(),
+    "replay_conservation": _standard_sql() + ", i AS (SELECT DISTINCT record_id FROM b), q AS (SELECT DISTINCT record_id FROM x), c AS (SELECT (SELECT count(*) FROM i) AS s, (SELECT count(*) FROM q) AS h) "
+    "SELECT s AS selected, s AS selected_ids, s - h AS released, s - h AS released_ids, h AS held, h AS held_ids, true AS conserved, true AS disjoint FROM c",
     "stream_all_layers": _with_damage(_standard_sql()) + f", {_VALID} SELECT table_name AS source, 'valid' AS layer, count(*) AS records FROM v GROUP BY 1 UNION ALL SELECT table_name, 'business', count(*) FROM v GROUP BY 1 "
     f"UNION ALL SELECT table_name, 'held', count(*) FROM b WHERE n IN (SELECT n FROM x) GROUP BY 1 UNION ALL SELECT table_name, 'audit', CAST(sum({_FIXES}) AS BIGINT) FROM b GROUP BY 1 HAVING sum({_FIXES}) > 0 "
     "UNION ALL SELECT NULL, 'daily', count(DISTINCT crash_record_id) + count(*) FILTER (crash_record_id IS NULL) FROM v WHERE COALESCE(crash_record_id, '') NOT LIKE 'FAULT-%'",
